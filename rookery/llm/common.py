@@ -51,6 +51,11 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand texts to Python in batches of ``rows``: single texts may be long, and Arrow buffers hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(key: Column, folds: int = 5) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
@@ -61,6 +66,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[list], list | pa.Record
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.llm.common import small_batches
+
 _KEPT = bytes(b"0123456789abcdefghijklmnopqrstuvwxyz") + bytes(range(0x80, 0x100))
 _TABLE = bytes(i if i in _KEPT else (i + 32 if 0x41 <= i <= 0x5A else 0x20) for i in range(256))
 
@@ -102,6 +104,7 @@ def _automaton(key: str, items: list[tuple[str, str | None]], window: int):
 
 def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``hit_first``/``hit_last`` (merged word ranges) and ``hit_items`` (sorted as text)."""
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // max_chars))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, fold, map_rows, sums_by_row
+from rookery.llm.common import Memo, fold, map_rows, small_batches, sums_by_row
 from rookery.llm.labelled import collect_features, flat, labelled_sample
 
 DIMS = 1 << 20
@@ -141,6 +141,7 @@ def drop_toxic(docs: DataFrame, model: FactorisationMachine, *, threshold: float
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
