@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, new_path
+from rookery.llm.common import Memo, new_path, small_batches
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
@@ -113,46 +112,48 @@ class Segment:
         return [self[i] for i in range(self.offsets[k], self.offsets[k + 1])]
 
 
-#: Letters, then ASCII punctuation other than the apostrophe (which starts contractions).
-_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+#: White space, ASCII, Latin-1 letters and signs, general punctuation: each stable under NFC, lower-cased one to one.
+_SAFE = re.compile("[\t\n\r -~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00ff\u2010-\u2027\u2030-\u205e]*")
+#: The tokenizer's pieces, over such text in lower case.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\t\n\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on.
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + k) for k, b in enumerate(x for x in range(256) if x not in set(_PRINTED))}
 
 
 class WordEncoder:
-    """Ids of whole texts, with a bounded cache of white-space chunks.
+    """Ids of whole texts, with bounded caches.
 
-    For tokenizers that normalise by NFC and lower case and whose pieces never
-    span white space: the ids of a text are those of its chunks in order.  A
-    chunk of letters with closing punctuation goes straight to the library's
-    BPE model as two pieces; any other goes through its whole pipeline.
+    For tokenizers that normalise by NFC and lower case and whose pieces are
+    contractions, letter runs, digits and runs of other signs.  Text of common
+    characters is cut into these pieces and each new piece goes straight to
+    the library's BPE model; of any other text, each white-space chunk (white
+    space is dropped and ends pieces) goes through its whole pipeline.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 200_000):
+    def __init__(self, tokenizer_path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.model = self.tokenizer.model
-        self.cache = Memo(self._chunk, most)
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenize = tokenizer.model.tokenize
+        packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
-    def _whole(self, chunk: str) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        def packed(ids: list[int]) -> bytes:
+            return packers[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        low = chunk.lower()
-        plain = _PLAIN.fullmatch(low)
-        if plain is None or len(low) != len(chunk) or "\u03c2" in low or "\u03c3" in low or not (plain[1].isalpha() or not plain[1]) or not unicodedata.is_normalized("NFC", chunk):
-            ids = self._whole(chunk)
-        else:
-            ids = [t.id for piece in plain.groups() if piece for t in self.model.tokenize(piece if piece.isascii() else "".join(map(_BYTE_CHARS.__getitem__, piece.encode())))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        def piece(text: str) -> bytes:
+            return packed([t.id for t in tokenize(text if text.isascii() else "".join(map(_BYTE_CHARS.__getitem__, text.encode())))])
+
+        self.pieces = Memo(piece, most)
+        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b"", most // 10)
 
     def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.cache.__getitem__, chunks))
+        if not text:
+            return b""
+        if "<|" not in text and _SAFE.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join([self(c) if "<|" not in c and _SAFE.fullmatch(c) else self.chunks[c] for c in chunks])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -166,6 +167,7 @@ def encoder_for(path: str) -> WordEncoder:
 
 def write_segments(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int = 1, segment_tokens: int = 1 << 20, chunk_bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document and write the segments, in ascending document order."""
+    small_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
