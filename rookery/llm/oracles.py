@@ -17,4 +17,15 @@ SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(c.n_hit, 0)::bigint AS n_
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-ORACLES = {"op7_benchmark_decontamination": DECONTAMINATION}
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op3_exact_top_k": TOP_K, "op7_benchmark_decontamination": DECONTAMINATION}

@@ -22,6 +22,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rookery.llm.pivot_search import top_k
+
+    return top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rookery.llm.jaccard_join import near_duplicates
 
@@ -47,4 +53,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op10_token_output)}
