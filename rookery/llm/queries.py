@@ -28,6 +28,12 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rookery.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rookery.llm.jaccard_join import near_duplicates
 
@@ -47,10 +53,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+#: Host, path start and verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rookery.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rookery.llm.token_codes import token_output
 
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_html_extraction, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op9_url_filter, op10_token_output)}
