@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from rookery.llm.license_scan import LICENSE_NOTICES
+
 _WORDS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 DECONTAMINATION = f"""
@@ -28,4 +30,19 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op3_exact_top_k": TOP_K, "op7_benchmark_decontamination": DECONTAMINATION}
+_NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in LICENSE_NOTICES.items())
+# every shingle occurrence of a template stands for the window at the even position before it
+LICENSES = rf"""
+WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS sh FROM d WHERE len(w) >= 3),
+t0 AS (SELECT l, string_split_regex(regexp_replace(lower(x), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+$', ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES {_NOTICES}) v(l, x)),
+t AS (SELECT l, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM t0),
+ts AS (SELECT l, t, unnest(t) AS g FROM t),
+occ AS (SELECT doc_id, sh, unnest(range(0, len(sh))) AS q, unnest(sh) AS g FROM s),
+hit AS (SELECT DISTINCT doc_id, sh, l, t, q - q % 2 AS p FROM occ JOIN ts USING (g)),
+c AS (SELECT doc_id, l, p, len(list_intersect(list_slice(sh, greatest(0, p - len(t) - 4) + 1, greatest(0, p - len(t) - 4) + 2 * len(t) + 10), t)) / len(t) AS share FROM hit)
+SELECT doc_id, l AS license, max(share)::double AS containment, min(p)::bigint AS first_word, count(*)::bigint AS n_windows
+FROM c WHERE share >= 0.8 GROUP BY doc_id, l
+"""
+
+ORACLES = {"op1_license_scan": LICENSES, "op3_exact_top_k": TOP_K, "op7_benchmark_decontamination": DECONTAMINATION}

@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rookery.llm.license_scan import scan_licenses
+
+    return scan_licenses(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rookery.llm.quality import score_quality, train_quality
 
@@ -28,6 +34,22 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, table(spark, sf_dir, "embeddings"))
 
 
+#: Shares of tokens wanted for each domain, here the language.
+MIX_TARGETS = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents' domains."""
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rookery.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents")
+    return mix(spark, docs.select("doc_id", "text"), domain_labels(docs, table(spark, sf_dir, "labels")), MIX_TARGETS, keep_text=False)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rookery.llm.html_text import extract_text
 
@@ -69,4 +91,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_html_extraction, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op9_url_filter, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_exact_top_k, op4_source_mixing, op5_html_extraction, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op9_url_filter, op10_token_output)}
