@@ -5,15 +5,16 @@ over domains.  A document's expected tokens of a domain are its words times
 the posterior; nonnegative rates per document are fitted so that the rated
 totals of all domains match ``budget * weight``:
 
-    minimise  sum_d ((sum_i r_i n_i p_id - t_d) / T_d)^2,   r >= 0, from r = 1
+    minimise  sum_d ((sum_i r_i n_i p_id - t_d) / T_d)^2,   r >= least_rate, from r = 1
 
 by projected gradient steps, each scaled by the document's words, so that a
 step is a few numbers for each domain and a document's rate is a fold over
 the steps so far.  Each step is one pass over the posteriors, summed where
 they lie; only domain totals reach the driver.
 
-Unless given, the budget is the least total at which no domain must shrink,
-so every document stays and short domains are repeated.
+``least_rate`` is 0 or more; with 1 every document stays and scarce domains
+are repeated.  Unless given, the budget is the least total at which no domain
+must shrink, with ``headroom`` beside it for documents between domains.
 
 Classifier: multinomial logistic regression on the shares of hashed words
 of at most ``max_rows`` labelled rows, trained on the driver.
@@ -112,11 +113,11 @@ def train_domains(docs: DataFrame, labelled: DataFrame, *, max_rows: int = MAX_R
     return fit_domains([np.frombuffer(r["ids"], "<u4") for r in got], [r["domain"] for r in got])
 
 
-def fold_rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after projected steps from 1: ``r <- max(0, r - p . step)``."""
-    r = np.ones(len(p))
+def fold_rates(p: np.ndarray, steps: np.ndarray, least_rate: float = 0.0) -> np.ndarray:
+    """Rates after projected steps from 1: ``r <- max(least_rate, r - p . step)``."""
+    r = np.maximum(least_rate, np.ones(len(p)))
     for step in steps:
-        r = np.maximum(0.0, r - p @ step)
+        r = np.maximum(least_rate, r - p @ step)
     return r
 
 
@@ -136,7 +137,7 @@ def _posterior_rows(docs: DataFrame, model: DomainModel, text_col: str, schema)
     return docs.mapInArrow(run, schema)
 
 
-def _totals(table: DataFrame, steps: np.ndarray) -> np.ndarray:
+def _totals(table: DataFrame, steps: np.ndarray, least_rate: float) -> np.ndarray:
     """Rated token totals of the domains, with the matrix sum of n p p' when there is no step yet."""
     domains = steps.shape[1]
 
@@ -146,7 +147,7 @@ def _totals(table: DataFrame, steps: np.ndarray) -> np.ndarray:
             if batch.num_rows:
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(-1, domains)
-                r = fold_rates(p, steps)
+                r = fold_rates(p, steps, least_rate)
                 total[:domains] += p.T @ (r * n)
                 total[domains:] += ((p * n[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "x"])
@@ -158,16 +159,16 @@ def _totals(table: DataFrame, steps: np.ndarray) -> np.ndarray:
     return out
 
 
-def project_rates(table: DataFrame, domains: list, targets: dict, budget: float | None, *, most_steps: int = 40, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def project_rates(table: DataFrame, domains: list, targets: dict, budget: float | None, *, least_rate: float = 0.0, headroom: float = 0.05, most_steps: int = 40, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(steps, totals reached, totals wanted)``."""
     steps = np.zeros((0, len(domains)))
-    first = _totals(table, steps)
+    first = _totals(table, steps, least_rate)
     have, gram = first[: len(domains)], first[len(domains) :].reshape(len(domains), -1)
     weights = np.array([float(targets.get(d, 0.0)) for d in domains])
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(domains), 1 / len(domains))
     with np.errstate(divide="ignore", invalid="ignore"):
         least = np.nanmax(np.where(weights > 0, have / weights, 0.0))
-    want = weights * (float(budget) if budget is not None else float(least))
+    want = weights * (float(budget) if budget is not None else float(least) * (1 + headroom))
     scale = 1 / np.maximum(have, 1e-9) ** 2
     # step size: one over the largest eigenvalue of S^1/2 (sum n p p') S^1/2
     root = np.sqrt(scale)
@@ -177,11 +178,11 @@ def project_rates(table: DataFrame, domains: list, targets: dict, budget: float
         if np.abs(now - want).max() <= tolerance * max(1e-9, want.max()):
             break
         steps = np.vstack([steps, size * scale * (now - want)])
-        now = _totals(table, steps)[: len(domains)]
+        now = _totals(table, steps, least_rate)[: len(domains)]
     return steps, now, want
 
 
-def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict, *, budget: float | None = None, max_rows: int = MAX_ROWS, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", seed: int = 42) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict, *, budget: float | None = None, least_rate: float = 1.0, headroom: float = 0.05, max_rows: int = MAX_ROWS, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", seed: int = 42) -> DataFrame:
     """``docs`` (without the text unless ``keep_text``) plus ``n_words, posterior, rate, copies``.
 
     ``labelled`` has ``id_col`` and ``domain_col``.  ``copies`` rounds the rate
@@ -197,7 +198,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     fields = [f for f in drawn.schema.fields if keep_text or f.name != text_col]
     schema = StructType([*fields, StructField("_n_words", LongType()), StructField("_posterior", ArrayType(DoubleType()))])
     table = stored(spark, _posterior_rows(drawn, model, text_col, schema), "posteriors")
-    steps, _, _ = project_rates(table, model.domains, targets, budget)
+    steps, _, _ = project_rates(table, model.domains, targets, budget, least_rate=least_rate, headroom=headroom)
     names = [*(f.name for f in fields), "n_words", "posterior", "rate"]
     out_schema = StructType([*fields, StructField("n_words", LongType()), StructField("posterior", ArrayType(DoubleType())), StructField("rate", DoubleType())])
 
@@ -205,7 +206,7 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
         for batch in batches:
             p = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1)
             n = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
-            rate = np.where(n > 0, fold_rates(p, steps), 1.0)
+            rate = np.where(n > 0, fold_rates(p, steps, least_rate), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=names)
 
     return table.mapInArrow(run, out_schema).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).drop("_u")

@@ -91,4 +91,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_exact_top_k, op4_source_mixing, op5_html_extraction, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op9_url_filter, op10_token_output)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_quality_classifier, op3_exact_top_k, op4_source_mixing, op5_html_extraction, op6_jaccard_join, op7_benchmark_decontamination, op8_toxicity, op9_url_filter, op10_token_output, pipeline)}
