@@ -90,9 +90,10 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, *, bands: int = BANDS, containment: float = CONTAINMENT, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     known = template_table(spark, LICENSE_NOTICES if templates is None else templates)
-    windows = known.select("license", "t", F.posexplode("seq").alias("p", "x0"), "seq").withColumn("x1", F.try_element_at("seq", F.col("p") + 2))
-    windows = windows.select("license", "t", "x0", F.explode(F.array_distinct(F.array(F.lit(None).cast("long"), F.col("x1")))).alias("x1"))
-    keys = windows.select("license", "t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _band(k, F.col("x0"), F.col("x1")).alias("m")) for k in range(bands)])).alias("b")).select("license", "t", "b.k", "b.m").distinct()
+    longest = known.agg(F.max(F.size("t"))).first()[0] or 0
+    windows = known.select("license", F.posexplode("seq").alias("p", "x0"), "seq").withColumn("x1", F.try_element_at("seq", F.col("p") + 2))
+    windows = windows.select("license", "x0", F.explode(F.array_distinct(F.array(F.lit(None).cast("long"), F.col("x1")))).alias("x1"))
+    keys = windows.select("license", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _band(k, F.col("x0"), F.col("x1")).alias("m")) for k in range(bands)])).alias("b")).select("license", "b.k", "b.m").distinct()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w"))
     rows = rows.filter(F.size("w") >= 3).select("doc_id", _shingles("w").alias("sh"))
@@ -109,10 +110,15 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str
             hit = hit | values[k].isin(sorted(sets[k]))
         rows = rows.filter(hit)
     bands_of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("m")) for k, v in enumerate(values)]))
-    # the join needs bands only; the few windows found carry their documents' shingles to the check
-    found = rows.select("doc_id", "sh", "p", bands_of.alias("b")).select("doc_id", "sh", "p", "b.k", "b.m").join(keys, ["k", "m"])
-    start = F.greatest(F.lit(0), F.col("p") - F.size("t") - slack)
-    region = F.slice("sh", start + 1, 2 * F.size("t") + 2 * slack + 2)
+    # a window found takes along as many shingles around it as the longest template asks for, not the whole text
+    reach = longest + slack
+    around = F.slice("sh", F.greatest(F.lit(0), F.col("p") - reach) + 1, 2 * reach + 2)
+    rows = rows.select("doc_id", "p", around.alias("around"), bands_of.alias("b")).select("doc_id", "p", "around", "b.k", "b.m")
+    # in the first case the keys were just counted, and the templates are fewer
+    few = len(literal) <= INLINE_MOST * bands
+    found = rows.join(F.broadcast(keys) if few else keys, ["k", "m"]).join(F.broadcast(known.select("license", "t")) if few else known.select("license", "t"), "license")
+    start = F.greatest(F.lit(0), F.col("p") - F.size("t") - slack) - F.greatest(F.lit(0), F.col("p") - reach)
+    region = F.slice("around", start + 1, 2 * F.size("t") + 2 * slack + 2)
     share = F.size(F.array_intersect(region, F.col("t"))) / F.size("t")
     checked = found.select("doc_id", "license", "p", share.alias("share")).filter(F.col("share") >= containment)
     # bands of one window meet here; they are few
