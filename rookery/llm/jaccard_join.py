@@ -240,10 +240,11 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, group_most: int = 512, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, group_most: int = 512, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, root, class_id, n_links, n_shingles, n_copies`` for each row; ``root`` is null without words."""
     k = prefix_length(threshold, target=target_recall)
     prints = stored(spark, _fingerprints(docs, width, id_col, text_col), "fingerprints")
-    light = prints.select("doc_id", "node", "n_shingles")
+    light = prints.select("doc_id", "text_hash", "node", "n_shingles")
     # all rows of a node have the same signature
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"))
     nodes = stored(spark, nodes.select("node", "rep.doc_id", "rep.text_hash", "copies", "sig"), "nodes")
@@ -274,9 +275,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH,
     classes = connected_components(spark, checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     about = nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = about.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    about = about.join(firsts, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    about = about.join(firsts, "root").select("node", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     return light.join(about, "node", "left").select(
         "doc_id",
+        "text_hash",
+        "root",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",
@@ -284,11 +287,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH,
     )
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, with all columns: the least id of each class, one row of it.
+def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, class_id, n_links, n_shingles, n_copies`` for each row; options as in ``_classified``."""
+    return _classified(spark, docs, **options).drop("text_hash", "root")
 
-    Rows without words, or with a null id, all stay.
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all columns: one row of the least id of each class.
+
+    Rows without words all stay.
     """
-    classes = near_duplicates(spark, docs, id_col=id_col, **options)
-    gone = classes.filter("n_shingles > 0 and doc_id != class_id").select(F.col("doc_id").alias("gone"), "n_shingles").distinct()
-    return docs.join(gone.select("gone").distinct(), docs[id_col] == F.col("gone"), "left_anti")
+    rows = stored(spark, _classified(spark, docs, id_col=id_col, text_col=text_col, **options).filter("root is not null").select("doc_id", "text_hash", "root"), "classes")
+    # rows of one id and text are alike for this purpose
+    each = rows.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f"))
+    judged = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
+    judged = stored(spark, judged.filter("n > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged")
+    names = docs.columns
+    keyed = docs.select("*", F.xxhash64(F.col(text_col)).alias("_text_hash"))
+    same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed["_text_hash"] == right["_hash"])
+    single = keyed.join(judged, same(judged), "left_anti").select(*names)
+    repeated = judged.filter("stays").select("_id", "_hash")
+    one = keyed.join(repeated, same(repeated), "left_semi").groupBy(F.col(id_col), "_text_hash").agg(F.any_value(F.struct(*names)).alias("row"))
+    return single.unionByName(one.select("row.*"))
