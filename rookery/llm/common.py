@@ -44,13 +44,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and go on from the files (cuts lineage)."""
+def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder and go on from the files (cuts lineage).
+
+    ``files`` bounds the number of files, for tables of few bytes a row.
+    """
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """Keep a result on the executors' disks for its further uses; a lost part is computed again from its inputs."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand texts to Python in batches of ``rows``: single texts may be long, and Arrow buffers hold whole batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

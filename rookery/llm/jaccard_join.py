@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, map_rows, mix64, stored
+from rookery.llm.common import Memo, map_rows, mix64, on_disk, stored
 from rookery.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -240,26 +240,28 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, group_most: int = 512, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, group_most: int = 512, block: int = 192, rows_a_file: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, root, class_id, n_links, n_shingles, n_copies`` for each row; ``root`` is null without words."""
     k = prefix_length(threshold, target=target_recall)
     prints = stored(spark, _fingerprints(docs, width, id_col, text_col), "fingerprints")
+    files = max(1, -(-prints.count() // rows_a_file))
     light = prints.select("doc_id", "text_hash", "node", "n_shingles")
     # all rows of a node have the same signature
     nodes = prints.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"))
-    nodes = stored(spark, nodes.select("node", "rep.doc_id", "rep.text_hash", "copies", "sig"), "nodes")
+    nodes = stored(spark, nodes.select("node", "rep.doc_id", "rep.text_hash", "copies", "sig"), "nodes", files)
 
     # a tree's label: its own hashes, then those of the next tree
     own = HASHES // TREES
     label = [F.substring(F.concat("sig", "sig"), 4 * own * t + 1, 4 * k) for t in range(TREES)]
     members = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(t), p) for t, p in enumerate(label)])).alias("bucket"))
     groups = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    grouped = stored(spark, members.join(groups, "bucket"), "groups")
+    grouped = on_disk(members.join(groups, "bucket"))
     sketches = map_rows(nodes.select("node", "sig"), "node long, sketch binary", lambda b: [b.column(0), [np.frombuffer(x.as_py(), np.uint8)[::4].tobytes() for x in b.column(1)]])
     small = grouped.filter(F.col("n") <= group_most).select("bucket", "node").join(sketches, "node").select("bucket", "node", "sketch")
     likely = small.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_likely_pairs(threshold), "a long, b long")
     stars = grouped.filter((F.col("n") > group_most) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    comps = stored(spark, connected_components(spark, likely.unionByName(stars)), "likely")
+    comps = connected_components(spark, likely.unionByName(stars), files)
+    grouped.unpersist()
 
     sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = comps.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
@@ -269,10 +271,10 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     with_text = texts.join(placed, placed["doc_id"].eqNullSafe(texts["id"]) & (F.col("hash") == F.col("text_hash")))
     cells = with_text.select(F.col("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "block", "node", "copies", "text")
     cells = cells.select("root", F.least("o", "block").alias("ci"), F.greatest("o", "block").alias("cj"), "block", "node", "copies", "text")
-    checked = stored(spark, cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(width, threshold), "node long, links long, other long"), "checked")
+    checked = on_disk(cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(width, threshold), "node long, links long, other long"))
 
     links = checked.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(spark, checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = connected_components(spark, checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), files)
     about = nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = about.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     about = about.join(firsts, "root").select("node", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
@@ -297,12 +299,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc
 
     Rows without words all stay.
     """
-    rows = stored(spark, _classified(spark, docs, id_col=id_col, text_col=text_col, **options).filter("root is not null").select("doc_id", "text_hash", "root"), "classes")
+    rows = on_disk(_classified(spark, docs, id_col=id_col, text_col=text_col, **options).filter("root is not null").select("doc_id", "text_hash", "root"))
     # rows of one id and text are alike for this purpose
     each = rows.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f"))
     judged = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
-    judged = stored(spark, judged.filter("n > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged")
+    judged = on_disk(judged.filter("n > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"))
     names = docs.columns
     keyed = docs.select("*", F.xxhash64(F.col(text_col)).alias("_text_hash"))
     same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed["_text_hash"] == right["_hash"])
