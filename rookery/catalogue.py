@@ -301,6 +301,45 @@ def vocabulary(spark, sf_dir):
     return spark.range(1).select(F.explode(inverse).alias("id", "token"))
 
 
+_NUMBERED = f"{_BOARD}, nb AS (SELECT name, bits, tokens, row_number() OVER (ORDER BY name) AS id FROM bb)"
+
+
+def _position_index(spark):
+    from rookery.plans.position_search import position_index
+    from rookery.tables import new_path
+
+    index = position_index(spark, new_path(spark, "positions"), overwrite=True)
+    rows = [(k + 1, NAMED_POSITIONS[name]) for k, name in enumerate(sorted(NAMED_POSITIONS))]
+    boards = spark.createDataFrame(rows, "number long, fen string")
+    index.insert(boards, id_col="number")
+    return index, boards.select(F.col("number").alias("query_id"), "fen")
+
+
+def _position_sql(distance: str) -> str:
+    return f"""WITH {_NUMBERED}, d AS (SELECT q.id AS query_id, v.id AS id, {distance} AS distance FROM nb q JOIN nb v ON true),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank, id, distance FROM d)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 3"""
+
+
+@query(_position_sql("list_sum(list_transform(range(1, 774), lambda i: abs(q.bits[i] - v.bits[i])))::int"))
+def position_search_bits(spark, sf_dir):
+    index, boards = _position_index(spark)
+    return index.search(boards, 3, by="bitboard", exact=True).drop("fen")
+
+
+@query(_position_sql("list_sum(list_transform(range(1, 70), lambda i: (q.tokens[i] - v.tokens[i]) ** 2))::double"))
+def position_search_tokens(spark, sf_dir):
+    index, boards = _position_index(spark)
+    return index.search(boards, 3, by="token", exact=True).drop("fen")
+
+
+@query()
+def position_search_embeddings(spark, sf_dir):
+    index, boards = _position_index(spark)
+    index.create_indexes()
+    return index.search(boards, 3)
+
+
 # -- sampling -----------------------------------------------------------------
 def _u(seed: int, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::bigint / 4294967296.0)"

@@ -136,3 +136,12 @@ def pca(df: DataFrame, column: str, k: int = 2, *, id_col: str = "id") -> DataFr
 def artefact_name(label: str):
     """``yyyyMMddHHmmss_label`` of now, as a column."""
     return F.concat(F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), F.lit(f"_{label}"))
+
+
+def save_model(model, root: str, label: str) -> str:
+    """Writes a fitted MLlib model under a time-stamped name and returns its path."""
+    from datetime import UTC, datetime
+
+    path = f"{root}/{datetime.now(UTC):%Y%m%d%H%M%S}_{label}"
+    model.write().save(path)
+    return path

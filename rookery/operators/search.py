@@ -127,7 +127,8 @@ def nested(hits: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
 
 def lookup_hits(hits: DataFrame, store: DataFrame, id_col: str = "id") -> DataFrame:
     """Hits with the columns of another store of the same ids; order columns are kept."""
-    return hits.join(store.select(F.col(id_col).alias("id"), *[c for c in store.columns if c != id_col]), "id").orderBy("query_id", "rank")
+    more = [c for c in store.columns if c != id_col]
+    return hits.join(store.select(F.col(id_col).alias("id"), *more), "id").select(*hits.columns, *more).orderBy("query_id", "rank")
 
 
 def search_by_ids(rows: DataFrame, ids: list, id_col: str = "id", literal_most: int = 1000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sampling, splits, masks, batches, windows, shards, metrics, plans, streams."""
 
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -137,7 +138,7 @@ def test_position_plan(spark, tmp_path):
     games = tmp_path / "games"
     games.mkdir()
     for k in range(3):
-        (games / f"{k}.pgn").write_text(GAME_TEXT.replace("First", f"First {k}"))
+        (games / f"{k}.pgn").write_text("\n".join(re.sub(r'\[Event "(\w+)', rf'[Event "\1 {k} {g}', GAME_TEXT) for g in range(80)))
     settings_ = PreprocessingSettings(SamplingFilters(min_elo=0, subsample_rate=1.0, ply_mode="squared"), seed=1)
     out = str(tmp_path / "out")
     data = PositionDataset(spark, DatasetSettings("demo", str(games), out, batch_size=4, train_ratio=0.5), settings_)

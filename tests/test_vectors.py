@@ -135,3 +135,31 @@ def test_pca(spark):
     c = x - x.mean(axis=0)
     want = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_position_index(spark, tmp_path):
+    from rookery.plans.position_search import position_index
+    from rookery.sources.literals import NAMED_POSITIONS, named_positions
+
+    index = position_index(spark, str(tmp_path), overwrite=True)
+    assert index.insert(named_positions(spark)).count() == index.insert(named_positions(spark)).count() == len(NAMED_POSITIONS)
+    assert index.bitboards.num_entities() == index.tokens.num_entities() == len(NAMED_POSITIONS)
+    index.create_indexes()
+    fen = NAMED_POSITIONS["game_1_catalan_opening"]
+    ask = spark.createDataFrame([(1, fen)], "query_id long, fen string")
+    for by in ("embedding", "bitboard", "token"):
+        hits = index.search(ask, 2, by=by, nprobe=1024).collect()
+        assert [h["fen"].split()[0] for h in hits] == [NAMED_POSITIONS[n].split()[0] for n in ("game_1_catalan_opening", "game_1_one_move_later")]
+    with pytest.raises(ValueError, match="unknown collection"):
+        index.search(ask, by="other")
+
+
+def test_save_model(spark, tmp_path):
+    from pyspark.ml.feature import PCA, PCAModel
+    from pyspark.ml.functions import array_to_vector
+
+    from rookery.functions.encoders import save_model
+
+    rows = synthetic_vectors(spark, 20, 4).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    path = save_model(PCA(k=2, inputCol="x", outputCol="y").fit(rows), str(tmp_path), "pca")
+    assert path.endswith("_pca") and PCAModel.load(path).getK() == 2
