@@ -101,13 +101,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded token cache: ``memo[token]`` computes what is missing."""
+    """A bounded token cache: ``memo[token]`` computes what is missing.
 
-    def __init__(self, make: Callable, most: int = 300_000):
+    Python workers live on from one operator to the next; the caches of one
+    ``group`` give way when another group's are filled.
+    """
+
+    _filled: list = []
+
+    def __init__(self, make: Callable, most: int = 300_000, group: str | None = None):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.group = make, most, group or str(id(self))
 
     def __missing__(self, key):
+        if not any(m is self for m in Memo._filled):
+            for other in Memo._filled:
+                if other.group != self.group:
+                    other.clear()
+            Memo._filled[:] = [m for m in Memo._filled if m.group == self.group and m is not self] + [self]
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)

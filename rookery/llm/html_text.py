@@ -40,11 +40,12 @@ PLAIN_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre dt dd td th figcaption capt
 BOILERPLATE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc header masthead topbar footer footnav copyright sidebar side aside rail widget widgets related recommended recommendations "
-    "share sharing social comment comments commentlist disqus replies respond discussion search form login".split()
+    "disclaimer skip share sharing social comment comments commentlist disqus replies respond discussion search form login".split()
 )
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)""", re.I)
+_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
@@ -72,11 +73,13 @@ def _named_boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
     skipped, label = tag in BOILERPLATE_TAGS, ""
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+            value = given.lower()
             if name in ("class", "id"):
                 if name == "class":
                     label = value
-                skipped |= tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                words = {*re.split(r"[^a-z0-9]+", value), *(w.lower() for w in _CAMEL.findall(given))}
+                skipped |= tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(words)
             elif name == "role":
                 skipped |= value in BOILERPLATE_ROLES
             else:

@@ -174,8 +174,14 @@ def _likely_pairs(threshold: float):
     return run
 
 
-def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set."""
+def _counts(left: list[np.ndarray], right: list[np.ndarray], most: int = 1_500_000) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set; sides of more than ``most`` elements are halved."""
+    if sum(map(len, left)) + sum(map(len, right)) > most and len(left) * len(right) > 16:
+        if len(left) >= len(right):
+            half = len(left) // 2
+            return np.concatenate([_counts(left[:half], right, most), _counts(left[half:], right, most)], axis=0)
+        half = len(right) // 2
+        return np.concatenate([_counts(left, right[:half], most), _counts(left, right[half:], most)], axis=1)
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.float64)
     values, place = np.unique(np.concatenate(left + right), return_inverse=True)

@@ -22,8 +22,8 @@ of at most ``max_rows`` labelled rows, trained on the driver.
 Edge cases: null and empty texts have no words, the prior as posterior and
 rate 1; without labelled rows there is one domain (null label) and all
 rates are the budget over the total; a target for an unknown domain is left
-out and the weights are scaled to 1; repeated rows get equal rates and each
-its own copies.
+out and the weights are scaled to 1; repeated rows get equal rates and equal
+copies; columns of the table that have the names of the results are replaced.
 """
 
 from __future__ import annotations

@@ -144,8 +144,8 @@ class WordEncoder:
         def piece(text: str) -> bytes:
             return packed([t.id for t in tokenize(text if text.isascii() else "".join(map(_BYTE_CHARS.__getitem__, text.encode())))])
 
-        self.pieces = Memo(piece, most)
-        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b"", most // 10)
+        self.pieces = Memo(piece, most, "tokens")
+        self.chunks = Memo(lambda chunk: packed(tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b"", most // 10, "tokens")
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

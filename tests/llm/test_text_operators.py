@@ -218,6 +218,24 @@ def test_components(spark):
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_intersection_sizes():
+    from rookery.llm.jaccard_join import _counts
+
+    rng = np.random.default_rng(9)
+    left, right = ([np.unique(rng.integers(0, 9_000, n)).astype(np.uint64) for n in rng.integers(1, 400, size)] for size in (23, 31))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    for most in (10**9, 2_000, 50):
+        assert _counts(left, right, most).tolist() == want
+
+
+def test_caches_give_way():
+    from rookery.llm.common import Memo
+
+    a, b, c = Memo(len, 3), Memo(str.upper, 3, "pair"), Memo(str.lower, 3, "pair")
+    assert (a["xx"], b["q"], c["W"], b["z"]) == (2, "Q", "w", "Z") and not a and len(b) == 2 and len(c) == 1
+    assert [a[k] for k in ("1", "22", "333", "4444")] == [1, 2, 3, 4] and len(a) == 1 and not b and not c
+
+
 def test_prefix_length():
     from rookery.llm.jaccard_join import TREES, prefix_length
 
