@@ -273,8 +273,9 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     placed = comps.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     placed = placed.join(nodes.select("node", "doc_id", "text_hash", "copies"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    texts = texts.groupBy("id", "hash").agg(F.any_value("text").alias("text"))  # repeated rows once
     with_text = texts.join(placed, placed["doc_id"].eqNullSafe(texts["id"]) & (F.col("hash") == F.col("text_hash")))
+    # repeated rows once, after the join, when few texts are left
+    with_text = with_text.groupBy("node", "root", "blocks", "block", "copies").agg(F.any_value("text").alias("text"))
     cells = with_text.select(F.col("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "block", "node", "copies", "text")
     cells = cells.select("root", F.least("o", "block").alias("ci"), F.greatest("o", "block").alias("cj"), "block", "node", "copies", "text")
     checked = on_disk(cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(width, threshold), "node long, links long, other long"))
@@ -316,5 +317,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc
     same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed["_text_hash"] == right["_hash"])
     single = keyed.join(judged, same(judged), "left_anti").select(*names)
     repeated = judged.filter("stays").select("_id", "_hash")
+    if repeated.isEmpty():
+        return single
     one = keyed.join(repeated, same(repeated), "left_semi").groupBy(F.col(id_col), "_text_hash").agg(F.any_value(F.struct(*names)).alias("row"))
     return single.unionByName(one.select("row.*"))
