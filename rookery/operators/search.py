@@ -64,27 +64,28 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2",
     """
     rows = rows if where is None else rows.filter(where)
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if metric != "hamming" and not few:
+    if not few:
         return knn_grid(rows, queries, k, metric=metric, id_col=id_col, vector_col=vector_col, query_id=query_id, query_vector=query_vector, output_fields=output_fields)
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
     right = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), *[F.col(c).alias(f"_f_{c}") for c in output_fields])
-    # the broadcast side is BROADCAST_QUERIES rows at most; Hamming queries beyond are dealt out in a shuffle instead
-    pairs = right.join(F.broadcast(left) if few else left, F.size("_v") == F.size("_q"))
+    # the broadcast side is BROADCAST_QUERIES rows at most
+    pairs = right.join(F.broadcast(left), F.size("_v") == F.size("_q"))
     pairs = pairs.select("query_id", "id", distance(metric, F.col("_q"), F.col("_v")).alias("distance"), *[f"_f_{c}" for c in output_fields])
     return ranked(pairs, k).select("query_id", "rank", "id", "distance", *[F.col(f"_f_{c}").alias(c) for c in output_fields])
 
 
 def knn_grid(rows: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2", id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", output_fields: tuple[str, ...] = (), query_block: int = 1024, block: int = 16_384) -> DataFrame:
-    """As ``knn`` for any number of queries: blocks of both sides meet in cells, each by matrix products."""
+    """As ``knn`` for any number of queries: blocks of both sides meet in cells, each by matrix products or bit counts."""
     import pyarrow as pa
 
-    if metric not in ("l2", "cosine"):
-        raise ValueError(f"the grid knows l2 and cosine, not {metric!r}")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
+    kind = "array<bigint>" if metric == "hamming" else "array<double>"
     n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (rows, block)))
     # the grid knows one dimension: longer or shorter vectors are other searches
-    left = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
+    left = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast(kind).alias("v"))
     left = left.withColumn("d", F.size("v")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    right = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    right = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     right = right.withColumn("d", F.size("v")).withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_r)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
     def cell(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -98,6 +99,10 @@ def knn_grid(rows: DataFrame, queries: DataFrame, k: int = 10, *, metric: str =
                 if metric == "l2":
                     # products choose with room for their rounding, differences give the distance
                     d = (part * part).sum(axis=1)[:, None] + (rv * rv).sum(axis=1)[None, :] - 2 * part @ rv.T
+                elif metric == "hamming":
+                    d = np.zeros((len(part), len(rv)))
+                    for word in range(part.shape[1]):
+                        d += np.bitwise_count(part[:, word, None] ^ rv[None, :, word])
                 else:
                     d = 1 - part @ rv.T / np.sqrt((part * part).sum(axis=1)[:, None] * (rv * rv).sum(axis=1)[None, :])
                 edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
@@ -113,6 +118,8 @@ def knn_grid(rows: DataFrame, queries: DataFrame, k: int = 10, *, metric: str =
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
 
     found = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInArrow(cell, "query_id long, id long, distance double")
+    if metric == "hamming":
+        found = found.withColumn("distance", F.col("distance").cast("int"))
     hits = ranked(found, k).select("query_id", "rank", "id", "distance")
     if output_fields:
         fields = rows.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"_f_{c}") for c in output_fields])

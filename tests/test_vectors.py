@@ -89,6 +89,10 @@ def test_grid_equals_broadcast(spark):
         a = {(r["query_id"], r["rank"]): r["id"] for r in search.knn(rows, q, 4, metric=metric).collect()}
         b = {(r["query_id"], r["rank"]): r["id"] for r in search.knn_grid(rows, q, 4, metric=metric, query_block=7, block=30).collect()}
         assert a == b and len(a) == 200
+    words = rows.select("id", F.array(search.sign_word(F.transform("embedding", lambda x: x - 0.5)), F.col("id") * 77).alias("embedding"))
+    q = words.filter("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    a, b = (df.orderBy("query_id", "rank").collect() for df in (search.knn(words, q, 3, metric="hamming"), search.knn_grid(words, q, 3, metric="hamming", query_block=7, block=30)))
+    assert a == b and len(a) == 60
 
 
 def test_ties_and_duplicates(spark):
