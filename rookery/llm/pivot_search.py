@@ -78,15 +78,18 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, ids: np.ndarr
             best[mine] = -np.inf
         kept = np.zeros(0, np.int64)
         scores = np.zeros(0)
-        at, size, order = 0, step, None
-        while at < len(v):
-            if order is None or at + size > len(order):
-                reach = min(len(v), max(4 * size, at + size))
-                order = np.argpartition(-best, reach - 1)[:reach] if reach < len(v) else np.arange(len(v))
-                order = order[np.argsort(-best[order], kind="stable")]
+        at, size, order, waiting = 0, step, np.zeros(0, np.int64), np.ones(len(v), bool)
+        while waiting.any():
+            if at + size > len(order):
+                # only what is not yet scored is put in order: equal bounds lie differently in another order
+                rest = np.flatnonzero(waiting)
+                reach = min(len(rest), 4 * size)
+                order = rest[np.argpartition(-best[rest], reach - 1)[:reach]] if reach < len(rest) else rest
+                order, at = order[np.argsort(-best[order], kind="stable")], 0
             if len(scores) >= k and best[order[at]] < scores[-1]:
                 break  # no later candidate can reach the k-th score
             pick = order[at : at + size]
+            waiting[pick] = False
             pick = pick[best[pick] > -np.inf]
             kept, scores = np.concatenate([kept, pick]), np.concatenate([scores, v[pick] @ q[i]])
             first = np.lexsort((ids[kept], -scores))[:k]

@@ -34,6 +34,23 @@ def test_exact_top_k(spark, options):
     assert top_k(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,copies", [(16_384, 2_500), (16_384, 9_000), (5_000, 5_000)])
+def test_search_block_scores_each_tie_once(n, copies):
+    from rookery.llm.pivot_search import _distances, _lift, choose_pivots, search_block
+
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(0, 1, (n, 8)))
+    v[rng.permutation(n)[:copies]] = 4 * v[0]  # one vector, at places and under ids in no order
+    ids, q = rng.permutation(n), np.stack([v[0], 5 * v[1], 3 * v[0] + v[2]])
+    top = float((v * v).sum(axis=1).max())
+    pivots = choose_pivots(_lift(v[:500], top, False), 24)
+    got = search_block(np.array([-1, ids[7], -1]), q, _distances(_lift(q, top, True), pivots), ids, v, _distances(_lift(v, top, False), pivots), top, 5)
+    for (i, kept, scores), own in zip(got, (-1, ids[7], -1)):
+        score = v @ q[i]
+        want = [c for c in np.lexsort((ids, -score)) if ids[c] != own][:5]
+        assert ids[kept].tolist() == ids[want].tolist() and scores.tolist() == score[want].tolist()
+
+
 # -- 5 pages
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
 <header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav>
