@@ -5,12 +5,16 @@ over domains.  A document's expected tokens of a domain are its words times
 the posterior; nonnegative rates per document are fitted so that the rated
 totals of all domains match ``budget * weight``:
 
-    minimise  sum_d ((sum_i r_i n_i p_id - t_d) / T_d)^2,   r >= least_rate, from r = 1
+    minimise  sum_d ((sum_i r_i n_i p_id - t_d) / T_d)^2,   r >= least_rate, near r = 1
 
-by projected gradient steps, each scaled by the document's words, so that a
-step is a few numbers for each domain and a document's rate is a fold over
-the steps so far.  Each step is one pass over the posteriors, summed where
-they lie; only domain totals reach the driver.
+by projected Newton steps.  Of the rates that reach the totals, those nearest
+to 1 (squares weighted by words, a millionth of the aim) are the projection
+``max(least_rate, 1 - p . step)`` for one vector ``step`` with a number for each
+domain, the least point of a convex function.  A Newton step with its line
+search is one pass over the posteriors, summed where they lie; only domain
+totals and domain x domain sums reach the driver.  The steps end when every
+total is reached, or no step comes nearer (a warning gives the totals); a fit
+that ends otherwise is an error.
 
 ``least_rate`` is 0 or more; with 1 every document stays and scarce domains
 are repeated.  Unless given, the budget is the least total at which no domain
@@ -29,6 +33,7 @@ copies; columns of the table that have the names of the results are replaced.
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -137,49 +142,71 @@ def _posterior_rows(docs: DataFrame, model: DomainModel, text_col: str, schema)
     return docs.mapInArrow(run, schema)
 
 
-def _totals(table: DataFrame, steps: np.ndarray, least_rate: float) -> np.ndarray:
-    """Rated token totals of the domains, with the matrix sum of n p p' when there is no step yet."""
-    domains = steps.shape[1]
+def _totals(table: DataFrame, points: np.ndarray, least_rate: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each point: the sum of n h(1 - p . point), the rated token totals of the domains, and the sum of n p p' of the free rows.
+
+    ``h`` has the rate as its slope; a row is free unless its rate is held at ``least_rate``.
+    """
+    domains, start = points.shape[1], max(1.0, least_rate)
+    width = 1 + domains + domains * domains
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(domains + domains * domains)
+        total = np.zeros((len(points), width))
         for batch in batches:
             if batch.num_rows:
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(-1, domains)
-                r = fold_rates(p, steps, least_rate)
-                total[:domains] += p.T @ (r * n)
-                total[domains:] += ((p * n[:, None]).T @ p).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "x"])
+                for k, point in enumerate(points):
+                    z = start - p @ point
+                    free = z >= least_rate
+                    total[k, 0] += (n * np.where(free, z * z / 2, least_rate * (z - least_rate / 2))).sum()
+                    total[k, 1 : 1 + domains] += p.T @ (n * np.where(free, z, least_rate))
+                    total[k, 1 + domains :] += ((p * (n * free)[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["k", "x"])
 
     got = table.select("_n_words", "_posterior").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(domains + domains * domains)
+    out = np.zeros(len(points) * width)
     for r in got:
         out[r["k"]] = r["x"]
-    return out
+    return [(float(row[0]), row[1 : 1 + domains], row[1 + domains :].reshape(domains, domains)) for row in out.reshape(-1, width)]
 
 
 def project_rates(table: DataFrame, domains: list, targets: dict, budget: float | None, *, least_rate: float = 0.0, headroom: float = 0.05, most_steps: int = 40, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(steps, totals reached, totals wanted)``."""
-    steps = np.zeros((0, len(domains)))
-    first = _totals(table, steps, least_rate)
-    have, gram = first[: len(domains)], first[len(domains) :].reshape(len(domains), -1)
+    """``(steps, totals reached, totals wanted)``; at most ``most_steps`` passes after the first."""
+    step = np.zeros(len(domains))
+    value, now, gram = _totals(table, step[None, :], least_rate)[0]
+    have = now / max(1.0, least_rate)
     weights = np.array([float(targets.get(d, 0.0)) for d in domains])
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(domains), 1 / len(domains))
     with np.errstate(divide="ignore", invalid="ignore"):
         least = np.nanmax(np.where(weights > 0, have / weights, 0.0))
     want = weights * (float(budget) if budget is not None else float(least) * (1 + headroom))
-    scale = 1 / np.maximum(have, 1e-9) ** 2
-    # step size: one over the largest eigenvalue of S^1/2 (sum n p p') S^1/2
-    root = np.sqrt(scale)
-    size = 1 / max(1e-300, float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :])[-1]))
-    now = have
+    scale = np.maximum(have, 1e-9)
+    near_one = 1e-6 / max(1.0, float(have.sum())) * scale**2
+    reached = lambda x: bool((np.abs(x - want) <= tolerance * np.maximum(want, tolerance * want.max())).all())
+    rest = lambda x, at: want - x + near_one * at  # noqa: E731  the slope of the convex function
+    flat = lambda slope: float(np.abs(slope / scale).max()) <= 1e-6
+    lengths = 0.25 ** np.arange(8)
     for _ in range(most_steps):
-        if np.abs(now - want).max() <= tolerance * max(1e-9, want.max()):
+        slope = rest(now, step)
+        if reached(now) or flat(slope):
             break
-        steps = np.vstack([steps, size * scale * (now - want)])
-        now = _totals(table, steps, least_rate)[: len(domains)]
-    return steps, now, want
+        curve = gram + np.diag(near_one)
+        unit = 1 / np.sqrt(np.diag(curve))
+        move = -unit * np.linalg.solve(unit[:, None] * curve * unit[None, :], unit * slope)
+        points = step + lengths[:, None] * move
+        tried = _totals(table, points, least_rate)
+        values = [t[0] + p @ want + near_one @ (p * p) / 2 for t, p in zip(tried, points)]
+        best = int(np.argmin(values))
+        if np.abs(rest(tried[0][1], points[0]) / scale).max() < np.abs(slope / scale).max() / 2 and values[0] <= value + 1e-9 * abs(value):
+            best = 0  # near the least point the values differ by rounding only
+        step, value, (_, now, gram) = points[best], values[best], tried[best]
+    if not reached(now):
+        said = "; ".join(f"{d}: {x:.0f} of {w:.0f}" for d, x, w in zip(domains, now, want))
+        if not flat(rest(now, step)):
+            raise RuntimeError(f"the rates have not converged in {most_steps} steps; tokens reached of wanted: {said}")
+        warnings.warn(f"no rates of at least {least_rate} reach the wanted tokens; the nearest, reached of wanted: {said}", stacklevel=2)
+    return (step[None, :] if step.any() else np.zeros((0, len(domains)))), now, want
 
 
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict, *, budget: float | None = None, least_rate: float = 1.0, headroom: float = 0.05, max_rows: int = MAX_ROWS, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", seed: int = 42) -> DataFrame:

@@ -145,6 +145,31 @@ def test_mixing_reaches_targets(spark):
     assert np.abs(now - want).max() < 1 and len(steps)
 
 
+@pytest.mark.parametrize("shares", [(0.2, 0.6, 0.2, 0.001), (0.2, 0.6, 0.1, 0.1, 0.001), (0.6, 0.15, 0.15, 0.1, 0.0005)])
+def test_mixing_reaches_targets_beside_a_rare_domain(spark, shares):
+    from rookery.llm.mixing import fold_rates, project_rates
+
+    rng, d, rows = np.random.default_rng(4), len(shares), 20_000
+    y = np.repeat(np.arange(d), np.round(rows * np.array(shares) / sum(shares)).astype(int))
+    z = rng.normal(0, 1, (len(y), d))
+    z[np.arange(len(y)), y] += 11
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = rng.integers(20, 600, len(y))
+    posteriors = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "_n_words long, _posterior array<double>")
+    names, targets = ["en", "fr", "de", "es", "xx"][:d], {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
+    wanted = np.array([targets.get(x, 0.0) for x in names])
+    if d == 5:
+        with pytest.warns(UserWarning, match="xx"):  # nothing is dropped, so the domain without a target stays
+            steps, now, want = project_rates(posteriors, names, targets, None, least_rate=1.0)
+    else:
+        steps, now, want = project_rates(posteriors, names, targets, None, least_rate=1.0)
+    r = fold_rates(p, steps, 1.0)
+    assert r.min() >= 1 and np.allclose(p.T @ (n * r), now)
+    assert np.abs(now / now.sum() - wanted).max() < 0.01 and abs(now.sum() / want.sum() - 1) < 0.01
+    with pytest.raises(RuntimeError, match="not converged"):
+        project_rates(posteriors, names, targets, None, least_rate=1.0, most_steps=0)
+
+
 def test_mixing_edges(spark):
     from rookery.llm.mixing import mix
 
