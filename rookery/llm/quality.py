@@ -2,7 +2,8 @@
 
 Features are indicators of n-grams (1 to 3) over the shapes of the
 white-space chunks of the whole text (case, digits and punctuation, with
-runs collapsed, and a mark for a chunk that repeats the one before), and of
+runs collapsed, long shapes in pieces of twelve signs, and a mark for a chunk
+that repeats the one before), and of
 single chunks' closing punctuation.  Each indicator is scaled by its class
 log-count ratio, and a linear hinge-loss model is fitted by dual coordinate
 descent.  Margins become probabilities by a logistic fit on out-of-fold
@@ -16,6 +17,7 @@ that class's smoothed share; repeated rows are scored alike.
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 
 import numpy as np
@@ -30,17 +32,24 @@ MAX_ROWS = 12_000
 
 
 def shape(chunk: str) -> str:
-    """``Hello,`` -> ``Aa,``; ``ABC!!`` -> ``A!!``; ``2024-01`` -> ``9-9``; letters beyond ASCII count alike."""
+    """``Hello,`` -> ``Aa,``; ``ABC!!`` -> ``A!!``; ``2024-01`` -> ``9-9``; letters beyond ASCII count alike; the whole chunk is read."""
     out, last = [], ""
-    for c in chunk[:64]:
+    for c in chunk:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if kind != last or kind not in "Aa9":
             out.append(kind)
         last = kind
-    return "".join(out)[:12]
+    return "".join(out)
 
 
-_shape_ids = Memo(lambda chunk: zlib.crc32(shape(chunk).encode("utf-8", "replace")) << 1)
+def _piece_ids(chunk: str) -> bytes:
+    """An id for each 12 signs of the shape."""
+    whole = shape(chunk)
+    ids = [zlib.crc32(whole[at : at + 12].encode("utf-8", "replace")) << 1 for at in range(0, len(whole), 12)]
+    return struct.pack(f"<{len(ids)}Q", *ids)
+
+
+_shape_ids = Memo(_piece_ids)
 
 
 def ngram_ids(text: str) -> np.ndarray:
@@ -48,9 +57,11 @@ def ngram_ids(text: str) -> np.ndarray:
     chunks = text.split()
     if not chunks:
         return np.zeros(0, np.uint32)
-    ids = np.fromiter(map(_shape_ids.__getitem__, chunks), np.uint64, len(chunks))
+    # a long chunk is not kept in the cache
+    made = [_shape_ids[c] if len(c) <= 64 else _piece_ids(c) for c in chunks]
+    ids = np.frombuffer(b"".join(made), "<u8")
     same = np.fromiter(itertools.chain((False,), map(str.__eq__, chunks[1:], chunks)), bool, len(chunks))
-    ids = mix64(ids + same.astype(np.uint64))
+    ids = mix64(ids + np.repeat(same, np.fromiter(map(len, made), np.int64, len(made)) // 8).astype(np.uint64))
     grams = [ids, mix64(ids[:-1] * np.uint64(3) + ids[1:]), mix64(ids[:-2] * np.uint64(9) + ids[1:-1] * np.uint64(5) + ids[2:])]
     return np.unique((np.concatenate(grams) >> np.uint64(46)).astype(np.uint32))
 

@@ -349,3 +349,11 @@ def test_codes(bits):
     assert len(Segment(pack([], np.array([0]), np.zeros(0, np.uint32), bits)).decode()) == 0
     with pytest.raises(ValueError):
         pack([], np.array([0]), ids, 7)
+
+
+def test_quality_reads_long_chunks_to_the_end():
+    from rookery.llm.quality import ngram_ids
+
+    start = "文字，文字。" * 20
+    ids = [set(ngram_ids(start + end).tolist()) for end in ("", "A!!9?" * 40, "x-Y-7" * 40)]
+    assert ids[0] < ids[1] | ids[0] and not ids[1] <= ids[0] and not ids[1] <= ids[2] and not ids[2] <= ids[1]
