@@ -72,6 +72,57 @@ def test_pages():
     assert len(main_text("<article>" + "<p>word, " * 20_000)) == 20_000 * 5 + 19_999 * 2
 
 
+def prose(n, k=0):
+    return " ".join(f"word{(i * 7 + k) % 13} some," if i % 9 == 0 else f"thing{(i * 5 + k) % 11}" for i in range(n)) + "."
+
+
+def test_scores_choose_the_paths(monkeypatch):
+    """No article element and no telling class names: the ratios alone tell the article from comments and menus."""
+    from rookery.llm import html_text
+
+    article = "".join(f"<p>{prose(60 + 9 * i, i)}</p>" for i in range(6)) + "<p>Short.</p><ul><li>One thing<li>Two things</ul>"
+    comments = "".join(f"<div class=d4><b>Jim{i}</b><p>{prose(12 + i, i)}</p></div>" for i in range(8))
+    page = f"<body><div class=a1><a href=/>Home</a> <a href=/n>News</a></div><div class=b2><h1>The title of it</h1>{article}</div><div class=c3>{comments}</div><div class=e5>Copyright 2024, by Site.</div></body>"
+    want = "\n\n".join(["The title of it", *(prose(60 + 9 * i, i) for i in range(6)), "Short.", "One thing", "Two things"])
+    assert html_text.main_text(page) == want
+    # the same paths inside an article: the ratios still decide
+    inside = page.replace("<body>", "<body><article>").replace("</body>", "</article></body>")
+    assert "Jim" not in html_text.main_text(inside) and "Home" not in html_text.main_text(inside) and prose(60) in html_text.main_text(inside)
+    score = html_text.score_paths
+    monkeypatch.setattr(html_text, "score_paths", lambda p: {k: 20 - v for k, v in score(p).items()})
+    assert prose(60) not in html_text.main_text(page) and "Copyright" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("start", ["<div class='share-of-income'>", "<p class=side>", "<div id=search-algorithms>"])
+def test_class_words_are_no_veto(start):
+    from rookery.llm.html_text import main_text
+
+    end = "</p>" if start.startswith("<p") else "</div>"
+    assert main_text(f"<article>{start}{prose(30)}{end}</article>") == prose(30)
+    page = f"<nav><a href=/>x</a></nav><article><p>{prose(40)}</p>{start}{prose(30, 1)}{end}</article><footer>F o o.</footer>"
+    assert main_text(page) == f"{prose(40)}\n\n{prose(30, 1)}"
+
+
+def test_wrappers_with_telling_names_say_nothing():
+    from rookery.llm.html_text import main_text
+
+    text = "\n\n".join(prose(60 + i, i) for i in range(6))
+    inner = "".join(f"<p>{t}</p>" for t in text.split("\n\n"))
+    assert main_text(f"<form id=aspnet><div class=page-with-sidebar>{inner}<div class=sidebar><p>{prose(40)}</p></div></div></form>") == text
+    assert main_text(f"<article>{inner}<article><p>{prose(30)}</p></article></article>") == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x", "<b>" * 50_000 + "</i>" * 50_000, "<div><b>" * 20_000 + "x" + "</p>" * 40_000, "<i><td>" + "<b>" * 30_000 + "</i>" * 30_000, "<b>" * 20_000 + "<div>x</div>" * 20_000, "<table><tr><td>x" * 20_000, "<a '" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    from rookery.llm.html_text import main_text
+
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 5
+
+
 def test_page_rows(spark):
     from rookery.llm.html_text import extract_text
 
