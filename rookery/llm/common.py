@@ -125,6 +125,22 @@ class Memo(dict):
         return value
 
 
+def join_groups(rows: DataFrame, about: DataFrame, key: str, count: str, spread: list[str], total: int, *, part: int = 256, most_hubs: int = 1_000_000) -> DataFrame:
+    """Inner join of ``rows`` with ``about``, which has one row for each ``key`` and in ``count`` how many of ``rows`` have it.
+
+    A key of more than ``part`` rows (``total / most_hubs``, if that is more) is
+    dealt over as many tasks as it has parts, by a hash of ``spread``, and its
+    row of ``about`` goes to each.  The broadcast table of such keys has
+    ``most_hubs`` rows of two numbers at most, whatever the total.
+    """
+    part = max(part, -(-total // most_hubs))
+    parts = F.ceil(F.col(count) / part).cast("int")
+    hubs = about.filter(F.col(count) > part).select(key, parts.alias("_parts"))
+    left = rows.join(F.broadcast(hubs), key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"))).drop("_parts")
+    right = about.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), parts - 1))))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum ``values`` over consecutive runs of ``counts``; empty runs give 0."""
     total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))

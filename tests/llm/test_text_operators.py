@@ -196,7 +196,7 @@ def brute_links(rows):
     return links, classes
 
 
-@pytest.mark.parametrize("options", [{}, {"group_most": 3, "block": 4}])
+@pytest.mark.parametrize("options", [{}, {"group_most": 3, "block": 4, "sample": 3}, {"weight": 200, "target_recall": 1.0, "least_recall": 0.9999}])
 def test_near_duplicates(spark, options):
     from rookery.llm.jaccard_join import keep_one_of_each, near_duplicates
 
@@ -261,11 +261,87 @@ def test_caches_give_way():
     assert [a[k] for k in ("1", "22", "333", "4444")] == [1, 2, 3, 4] and len(a) == 1 and not b and not c
 
 
-def test_prefix_length():
-    from rookery.llm.jaccard_join import TREES, prefix_length
+def test_labels_hold_the_signature():
+    from rookery.llm.jaccard_join import DEPTH, TREES, labels, prefix, signature, sketch
 
-    k = prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** TREES >= 0.999999 > 1 - (1 - 0.8 ** (k + 1)) ** TREES
+    rng = np.random.default_rng(2)
+    minima = signature(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    keys = labels(minima)
+    assert (sketch(keys[None, :])[0] == (minima & np.uint32(0xFF))).all()
+    other = minima.copy()
+    for tree in range(TREES):
+        other[tree * DEPTH + tree % DEPTH] += np.uint32(1)
+    hi, lo = keys[::2], keys[1::2]
+    for k in range(1, DEPTH + 1):
+        a, b = prefix(hi, lo, k), prefix(labels(other)[::2], labels(other)[1::2], k)
+        same = (a[0] == b[0]) & (a[1] == b[1])
+        assert same.tolist() == [tree % DEPTH >= k for tree in range(TREES)]
+        assert len(set(zip(*(x.tolist() for x in a)))) == TREES
+
+
+@pytest.mark.parametrize("group_most", [2, 512])
+def test_walk_finds_every_run(spark, group_most):
+    """Runs of equal prefixes, in one partition or several, against a dictionary; long ones come as stars."""
+    from rookery.llm.jaccard_join import DEPTH, TREES, _borders, _walk, cut_runs, labels, prefix
+
+    rng = np.random.default_rng(8)
+    keys = {n: labels(rng.integers(0, 3, TREES * DEPTH).astype(np.uint32)) for n in range(60)}
+    for n in range(20):
+        keys[n] = keys[0]
+    rows = [(int(keys[n][2 * t]), int(keys[n][2 * t + 1]), n) for n in keys for t in range(TREES)]
+    df = spark.createDataFrame(rows, "hi long, lo long, node long").repartitionByRange(23, "hi", "lo", "node").sortWithinPartitions("hi", "lo", "node").persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    borders = sorted(tuple(r) for r in df.mapInArrow(_borders, "p int, hi long, lo long, node long, last_hi long, last_lo long").collect())
+    assert len(borders) > 3
+    for k in (DEPTH, 4, 1):
+        want = {}
+        for h, low, n in rows:
+            a, b = prefix(np.array([h]), np.array([low]), k)
+            want.setdefault((int(a[0]), int(b[0])), set()).add(n)
+        got, groups = set(), {}
+        for r in df.mapInArrow(_walk(k, k == DEPTH, cut_runs(borders, k), group_most), "run long, child long, node long").collect():
+            if r["run"] is None:
+                got.add((r["child"], r["node"]))
+            else:
+                groups.setdefault(r["run"], []).append((r["child"], r["node"]))
+        for members in groups.values():
+            got |= {(a, b) for ca, a in members for cb, b in members if ca != cb}
+        near = {n: {n} for n in keys}
+        for a, b in got:  # joined in any number of steps
+            both = near[a] | near[b]
+            for n in both:
+                near[n] = both
+        if k < DEPTH:  # what a longer prefix joins was met before
+            for h, low, n in rows:
+                a, b = prefix(np.array([h]), np.array([low]), k + 1)
+                first = want.setdefault(("deeper", int(a[0]), int(b[0])), n)
+                both = near[first] | near[n]
+                for m in both:
+                    near[m] = both
+        assert all(members <= near[n] for key, members in want.items() if key[0] != "deeper" for n in members)
+    df.unpersist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def test_recall_is_estimated_from_the_links_found():
+    from rookery.llm.jaccard_join import HASHES, estimated_recall, modelled_recall
+
+    rng, s, k = np.random.default_rng(3), 0.85, 6
+    found = rng.random(200_000) < modelled_recall(s, k)
+    agree = rng.binomial(HASHES, s, 200_000)[found]
+    values, n = np.unique(agree, return_counts=True)
+    assert abs(estimated_recall(values, n, k, 0.8) - found.mean()) < 0.002
+    assert estimated_recall(np.zeros(0), np.zeros(0), k, 0.8) == 1.0
+
+
+def test_join_groups(spark):
+    from rookery.llm.common import join_groups
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)], "g long, v long")
+    about = rows.groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    want = sorted(map(tuple, rows.join(about, "g").select("g", "v", "n", "m").collect()))
+    for part in (1, 10, 1000):
+        assert sorted(map(tuple, join_groups(rows, about, "g", "n", ["v"], 300, part=part).select("g", "v", "n", "m").collect())) == want
 
 
 # -- 7 decontamination
