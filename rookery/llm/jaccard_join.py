@@ -445,7 +445,7 @@ def _beside_pivot(threshold: float):
     return rows
 
 
-def _cells(sets: DataFrame, threshold: float, block: int, weight: int, sample: int, n_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+def _cells(sets: DataFrame, threshold: float, block: int, weight: int, sample: int, n_nodes: int, files: int) -> tuple[DataFrame, DataFrame | None]:
     """Cells to compare, and the members of large components that are linked by their pivot: ``node, root, copies, leader, all_copies``."""
     of = ["root", "ci", "cj", "block", "node", "copies", "grams"]
     one = F.lit(0).alias
@@ -457,7 +457,7 @@ def _cells(sets: DataFrame, threshold: float, block: int, weight: int, sample: i
     chosen = big.filter((F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < sample) | (F.col("node") == F.col("root")))
     pivots = chosen.select("root", "grams").groupBy("root").applyInArrow(_pivot, "root long, pivot binary").join(big.select("root", "n").distinct(), "root")
     beside = join_groups(big.drop("n", "blocks"), pivots, "root", "n", ["node"], n_nodes).select("root", "n", "node", "copies", "n_shingles", "grams", "pivot")
-    beside = stored(sets.sparkSession, map_rows(beside, "root long, n long, node long, copies long, n_shingles int, grams binary, near boolean", _beside_pivot(threshold), size=64), "beside")
+    beside = stored(sets.sparkSession, map_rows(beside, "root long, n long, node long, copies long, n_shingles int, grams binary, near boolean", _beside_pivot(threshold), size=64), "beside", files)
 
     def parts(far: bool):
         kept = F.when(~F.col("near") if far else F.col("near"), 1)
@@ -500,8 +500,8 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
 
     sets = map_rows(with_text.select(*carried, "text"), "node long, root long, n long, blocks int, copies long, n_shingles int, grams binary", grams, size=256).filter("grams is not null")
     # repeated rows once
-    sets = stored(spark, sets.groupBy(*carried).agg(F.any_value("grams").alias("grams")), "sets")
-    cells, near = _cells(sets, threshold, block, weight, sample, n_rows)
+    sets = stored(spark, sets.groupBy(*carried).agg(F.any_value("grams").alias("grams")), "sets", 8 * files)
+    cells, near = _cells(sets, threshold, block, weight, sample, n_rows, 8 * files)
     checked = stored(spark, cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(threshold), "node long, links long, other long"), "checked", files)
 
     links = checked.filter("links is not null").select("node", "links")
@@ -533,10 +533,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc
     """
     rows = _classified(spark, docs, id_col=id_col, text_col=text_col, **options).filter("root is not null").select("doc_id", "text_hash", "root")
     # rows of one id and text are alike for this purpose
-    each = stored(spark, rows.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("rows")), "each")
+    each = on_disk(rows.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("rows")))
+    n_rows = each.count()
+    files = max(1, -(-n_rows // 50_000))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f"), F.count("*").alias("n"))
-    judged = join_groups(each, first, "root", "n", ["doc_id", "text_hash"], each.count()).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
-    judged = stored(spark, judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged")
+    judged = join_groups(each, first, "root", "n", ["doc_id", "text_hash"], n_rows).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
+    judged = stored(spark, judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged", files)
+    each.unpersist()
     names = docs.columns
     keyed = docs.select("*", F.xxhash64(F.col(text_col)).alias("_text_hash"))
     same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed["_text_hash"] == right["_hash"])
