@@ -177,6 +177,65 @@ def test_url_trees_learn(spark):
     assert filter_urls(ask.limit(0), [], labelled).count() == 0
 
 
+def test_url_labels_are_no_rules(spark):
+    """Hosts that the trees have not seen, from the seed; the top-level domain says nothing; no URL meets its own label."""
+    from rookery.llm.queries import URL_RULES
+    from rookery.llm.url_filter import FEATURES, UrlTrees, _parsed, filter_urls, parts, seed_urls, train_urls
+
+    seed = seed_urls(spark)
+    host, _ = parts(F.col("url"))
+    apart = F.pmod(F.xxhash64(host, F.lit(99)), F.lit(5)) == 0
+    model = train_urls(seed.filter(~apart))
+    right = model.scored(_parsed(seed.filter(apart), "label")).select(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
+    assert right >= 0.95
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    got = filter_urls(pages, URL_RULES).filter("rule is null").groupBy(F.substring_index("host", ".", -1)).agg(F.avg((F.col("verdict") == "allow").cast("double"))).collect()
+    assert len(got) == 2 and all(share > 0.7 for _, share in got)
+    # one host, one word: without its own fold there is nothing but the prior
+    few = spark.createDataFrame([(f"http://only.here/{k}", 1) for k in range(4)] + [(f"http://w{k}.example.com/", 0) for k in range(12)], "url string, label int")
+    trees = train_urls(few, trees=1)
+    assert isinstance(trees, UrlTrees) and set(FEATURES) >= {"site_blocked", "word_blocked"}
+    own = trees._with_shares(trees.sample, own_fold=True).filter("label = 1").select("top_blocked", "site_blocked", "word_blocked").distinct().collect()
+    assert [tuple(r) for r in own] == [(0.25, 0.25, 0.25)]
+    twice = spark.createDataFrame([("http://a.b/", 0)] * 5 + [("http://a.b/", 1), ("http://c.d/", 0)], "url string, label int")
+    assert sorted(map(tuple, train_urls(twice, trees=1).sample.select("url", "label").collect())) == [("http://a.b/", 1.0), ("http://c.d/", 0.0)]
+
+
+def test_url_features(spark):
+    import math
+
+    from rookery.llm.url_filter import _parsed, lexical
+
+    urls = ["http://www.free-bets.example.com/a/b1?x=1&y=22#z", "", "plain", "https://ÄB.net", "ftp://h//x-y"]
+    for r in lexical(_parsed(spark.createDataFrame([(u,) for u in urls], "url string"))).collect():
+        u, n = r["url"], len(r["url"])
+        assert r["url_length"] == n and r["digit_ratio"] == (sum(c in "0123456789" for c in u) / n if n else 0)
+        assert abs(r["entropy"] - (-sum(u.count(c) / n * math.log2(u.count(c) / n) for c in set(u)))) < 1e-9
+        assert r["depth"] == len([x for x in r["path"].split("/") if x]) and r["hyphens"] == u.count("-")
+    assert [r["words"] for r in lexical(_parsed(spark.createDataFrame([(urls[0],)], "url string"))).collect()] == [["www", "free", "bets", "example"]]
+
+
+URL_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, s, v)),
+m AS (SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, v FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def test_url_rules_by_sql(spark):
+    import duckdb
+
+    from rookery.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = QUERIES["op9_url_filter"](spark, sf).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict"))).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.sql(URL_SQL).fetchall(), key=repr)
+
+
 # -- SQL
 @pytest.mark.parametrize("name", ["op1_license_scan", "op3_exact_top_k", "op7_benchmark_decontamination"])
 def test_oracles(spark, name):
