@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from rookery.llm.license_scan import LICENSE_NOTICES
+from rookery.llm.license_scan import CONTAINMENT, LICENSE_NOTICES, LICENSE_TEXTS, PART, SLACK
 
 _WORDS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -30,19 +30,24 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-_NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in LICENSE_NOTICES.items())
-# every shingle occurrence of a template stands for the window at the even position before it
+_NOTICES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in (LICENSE_NOTICES | LICENSE_TEXTS).items())
+# every shingle of a part asks for the region of its tile
 LICENSES = rf"""
 WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS sh FROM d WHERE len(w) >= 3),
 t0 AS (SELECT l, string_split_regex(regexp_replace(lower(x), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+$', ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES {_NOTICES}) v(l, x)),
-t AS (SELECT l, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM t0),
-ts AS (SELECT l, t, unnest(t) AS g FROM t),
-occ AS (SELECT doc_id, sh, unnest(range(0, len(sh))) AS q, unnest(sh) AS g FROM s),
-hit AS (SELECT DISTINCT doc_id, sh, l, t, q - q % 2 AS p FROM occ JOIN ts USING (g)),
-c AS (SELECT doc_id, l, p, len(list_intersect(list_slice(sh, greatest(0, p - len(t) - 4) + 1, greatest(0, p - len(t) - 4) + 2 * len(t) + 10), t)) / len(t) AS share FROM hit)
-SELECT doc_id, l AS license, max(share)::double AS containment, min(p)::bigint AS first_word, count(*)::bigint AS n_windows
-FROM c WHERE share >= 0.8 GROUP BY doc_id, l
+t1 AS (SELECT l, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS q FROM t0),
+t2 AS (SELECT l, unnest(range(0, len(q), {PART})) AS part, q FROM t1),
+t3 AS (SELECT l, part, list_slice(q, part + 1, part + {PART}) AS seq FROM t2),
+t AS (SELECT l, part, len(seq) AS size, list_distinct(seq) AS t, sum(len(list_distinct(seq))) OVER (PARTITION BY l) AS of FROM t3),
+ts AS (SELECT l, part, size, of, t, unnest(t) AS g FROM t),
+occ AS (SELECT doc_id, sh, unnest(range(0, len(sh))) AS p, unnest(sh) AS g FROM s),
+hit AS (SELECT DISTINCT doc_id, sh, l, part, size, of, t, p // size AS tile FROM occ JOIN ts USING (g)),
+reg AS (SELECT doc_id, l, part, of, t, greatest(0, (tile - 1) * size - {SLACK}) AS start, list_slice(sh, greatest(0, (tile - 1) * size - {SLACK}) + 1, (tile + 2) * size + {SLACK}) AS region FROM hit),
+c AS (SELECT doc_id, l, part, of, len(list_intersect(region, t)) AS n, start + list_position(list_transform(region, lambda x: list_contains(t, x)), true) - 1 AS first_word FROM reg),
+b AS (SELECT doc_id, l, part, of, max(n) AS n, min(first_word) AS first_word FROM c GROUP BY doc_id, l, part, of)
+SELECT doc_id, l AS license, (sum(n) / of)::double AS containment, min(first_word)::int AS first_word
+FROM b GROUP BY doc_id, l, of HAVING sum(n) / of >= {CONTAINMENT}
 """
 
 ORACLES = {"op1_license_scan": LICENSES, "op3_exact_top_k": TOP_K, "op7_benchmark_decontamination": DECONTAMINATION}

@@ -20,28 +20,47 @@ HARD = [(None, None), (1, None), (2, ""), (3, " \n\t"), (4, "x"), (4, "x"), (5,
 
 
 # -- 1 licences
-def test_license_scan(spark, small):
+def test_license_scan(spark, monkeypatch):
     import duckdb
 
-    from rookery.llm.license_scan import LICENSE_NOTICES, scan_licenses
+    from rookery.llm import license_scan as L
     from rookery.llm.oracles import LICENSES
 
-    rows = HARD + [(10 + k, f"First line, with words.\n{text}\nand more words") for k, text in enumerate(LICENSE_NOTICES.values())]
-    rows += [(90, "Released under the MIT Licence"), (91, "Licensed under CC BY NC 4 0"), (92, "released UNDER the\nmit -- license")]
+    known = L.LICENSE_NOTICES | L.LICENSE_TEXTS
+    rows = HARD + [(10 + k, f"First line, with words.\n{text}\nand more words") for k, text in enumerate(known.values())]
+    rows += [(90, "Released under the MIT Licence"), (91, "Licensed under CC BY NC 4 0"), (92, "released UNDER the\nmit -- license"), (93, known["MIT-text"].replace("fitness", "use").replace("CLAIM", "matter")), (94, known["MIT-text"][:400])]
+    # rows of one id are one document
+    rows += [(95, "Released under the MIT License."), (95, "x y z Released under the MIT License."), (95, "Released under the MIT License."), (96, known["ISC-text"][:350]), (96, known["ISC-text"][300:])]
     docs = docs_of(spark, rows)
-    got = {(r["doc_id"], r["license"]): r for r in scan_licenses(spark, docs).collect()}
-    for k, name in enumerate(LICENSE_NOTICES):
-        assert got[10 + k, name]["containment"] == 1.0
-    assert (91, "CC-BY-NC-4.0") in got and (92, "MIT") in got and (90, "MIT") not in got
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas())
     want = {(r[0] if r[0] == r[0] else None, r[1]): r[2:] for r in con.sql(LICENSES).fetchall()}
-    assert {k: (v["containment"], v["first_word"], v["n_windows"]) for k, v in got.items()} == want
-    many = {f"T{k}": f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(1500)}
-    hits = scan_licenses(spark, docs_of(spark, [(1, "alpha7 beta7 gamma7 delta7"), (2, "alpha7 beta8")]), many).collect()
-    assert [(r["doc_id"], r["license"]) for r in hits] == [(1, "T7")]
-    assert scan_licenses(spark, docs.limit(0)).count() == 0
-    assert scan_licenses(spark, docs, {}).count() == 0
+    for most in (L.INLINE_MOST, 0):
+        monkeypatch.setattr(L, "INLINE_MOST", most)
+        got = {(r["doc_id"], r["license"]): r for r in L.scan_licenses(spark, docs).collect()}
+        assert {k: (v["containment"], v["first_word"]) for k, v in got.items()} == want
+    for k, name in enumerate(known):
+        assert got[10 + k, name]["containment"] == 1.0 and got[10 + k, name]["first_word"] == 4
+    assert (91, "CC-BY-NC-4.0") in got and (92, "MIT") in got and (90, "MIT") not in got and (95, "MIT") in got and (96, "ISC-text") in got
+    assert 0.8 <= got[93, "MIT-text"]["containment"] < 1 and (94, "MIT-text") not in got
+    monkeypatch.setattr(L, "BROADCAST_MOST", 0)
+    places = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in L.scan_licenses(spark, docs.filter("doc_id > 85 or doc_id is null")).collect()}
+    assert places == {k: v for k, v in want.items() if k[0] is None or k[0] > 85}
+    assert L.scan_licenses(spark, docs.limit(0)).count() == 0
+    assert L.scan_licenses(spark, docs, {}).count() == 0
+
+
+def test_bands_collide_as_derived(spark):
+    """Windows of two common shingles among four, and of one among five."""
+    from rookery.llm.license_scan import BANDS, band, collision
+
+    x = lambda k: F.xxhash64(F.col("id"), F.lit(k))
+    same = lambda a, b: F.greatest(*[(band(k, [x(i) for i in a]) == band(k, [x(i) for i in b])).cast("int") for k in range(BANDS)])
+    pairs = {(0, 1, 2): 1.0, (1, 2, 3): 0.5, (2, 3, 4): 0.2}
+    got = spark.range(20_000).select(*[F.avg(same((0, 1, 2), b)) for b in pairs]).first()
+    for share, s in zip(got, pairs.values()):
+        assert abs(share - collision(s)) < 0.01
+    assert collision(1.0) == 1.0
 
 
 # -- 2 and 8 classifiers
