@@ -5,8 +5,10 @@ first four and five letters, hashed.  The machine adds to a linear model one
 weight for every pair of present terms, the inner product of two short
 vectors, so that pairs such as an insult with a group mention count beyond
 their parts.  It is trained on a bounded labelled sample by Adam steps on
-the logistic loss; terms that do not tell the classes of the sample apart
-are left out.
+the logistic loss.  Terms that tell the classes of the sample apart neither
+alone nor in a pair are left out: pairs of the ``pair_terms`` most frequent
+terms are counted jointly, so that a group's name as usual in clean texts as
+in toxic ones stays if it does so beside another word.
 
 Edge cases: null and empty texts have no term and get the bias's score; if
 the labelled rows are none or of one class, every score is that class's
@@ -56,10 +58,13 @@ class FactorisationMachine:
     The value of a present term is fixed before training: by how many standard
     errors its share differs between the classes, over ``full``, 1 at most, and
     0 under ``least_z`` (a term that says nothing would only be memorised).
+    A term counts as much as its best pair does, if the pair differs by
+    ``pair_z`` errors, and by ``beyond`` more than either of its terms.
     """
 
-    def __init__(self, dims: int = DIMS, factors: int = 4, least: int = 4, least_z: float = 4.0, full: float = 8.0, epochs: int = 20, batch: int = 128, rate: float = 0.03, decay: float = 1e-4, seed: int = 11):
+    def __init__(self, dims: int = DIMS, factors: int = 4, least: int = 4, least_z: float = 4.0, full: float = 8.0, epochs: int = 20, batch: int = 128, rate: float = 0.03, decay: float = 1e-4, seed: int = 11, pair_terms: int = 1_500, pair_z: float = 7.0, beyond: float = 3.0):
         self.dims, self.factors, self.least, self.least_z, self.full, self.epochs, self.batch, self.rate, self.decay, self.seed = dims, factors, least, least_z, full, epochs, batch, rate, decay, seed
+        self.pair_terms, self.pair_z, self.beyond = pair_terms, pair_z, beyond
 
     def raw(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """bias + sum of weights + half of (squared sums less sums of squares) of the factors."""
@@ -67,14 +72,43 @@ class FactorisationMachine:
         sums = sums_by_row(v, counts)
         return self.bias + sums_by_row(w, counts) + 0.5 * (sums**2 - sums_by_row(v**2, counts)).sum(axis=1)
 
+    @staticmethod
+    def _errors(in_toxic: np.ndarray, in_clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
+        """By how many standard errors the share among toxic rows is above that among clean ones."""
+        share = (in_toxic + in_clean + 0.5) / (n0 + n1 + 1)
+        return (in_toxic / n1 - in_clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+
     def _values(self, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-        seen = [np.zeros(self.dims), np.zeros(self.dims)]
+        seen = np.zeros((2, self.dims), np.int32)
         for r, label in zip(rows, y):
             seen[int(label > 0)][r] += 1
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-        share = (seen[0] + seen[1] + 0.5) / (n0 + n1 + 1)
-        z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-        return np.where((z >= self.least_z) & (seen[0] + seen[1] >= self.least), np.minimum(1.0, z / self.full), 0.0)
+        n = seen.sum(axis=0)
+        out = np.zeros(self.dims)
+        common = np.flatnonzero(n >= self.least)
+        z = self._errors(seen[1, common], seen[0, common], n1, n0)
+        out[common] = np.where(np.abs(z) >= self.least_z, np.minimum(1.0, np.abs(z) / self.full), 0.0)
+        # the most frequent terms, but those that most rows have
+        some = np.flatnonzero(n[common] <= len(rows) / 2)
+        some = np.sort(some[np.lexsort((common[some], -n[common[some]]))[: self.pair_terms]])
+        place = np.full(self.dims, -1, np.int32)
+        place[common[some]] = np.arange(len(some))
+        both = np.zeros((2, len(some), len(some)), np.float32)
+        for k in (0, 1):
+            mine = [place[r] for r, label in zip(rows, y) if int(label > 0) == k]
+            for at in range(0, len(mine), 256):
+                part = np.zeros((min(256, len(mine) - at), len(some)), np.float32)
+                for i, r in enumerate(mine[at : at + 256]):
+                    part[i, r[r >= 0]] = 1
+                both[k] += part.T @ part
+        alone = np.abs(z[some])
+        for at in range(0, len(some), 128):  # a few rows of the pairs at a time
+            joint = self._errors(both[1, at : at + 128], both[0, at : at + 128], n1, n0)
+            enough = both[:, at : at + 128].sum(axis=0) >= 2 * self.least
+            joint = np.where(enough & (np.abs(joint) >= self.pair_z) & (np.abs(joint) >= self.beyond + np.maximum(alone[at : at + 128, None], alone[None, :])), np.abs(joint), 0.0)
+            of = common[some[at : at + 128]]
+            out[of] = np.maximum(out[of], np.minimum(1.0, joint.max(axis=1, initial=0.0) / self.full))
+        return out
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> FactorisationMachine:
         rng, values = np.random.default_rng(self.seed), self._values(rows, y)

@@ -110,6 +110,63 @@ def test_pairs_of_terms_count():
     assert np.mean((p >= 0.5) == (y > 0)) == 1.0
 
 
+def test_pairs_are_learnt_where_their_words_are_neutral():
+    """Default parameters: most toxic texts hold a slur; others only two words together, each as usual in clean texts as in toxic ones."""
+    from rookery.llm.toxicity import FactorisationMachine, term_ids
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("bcdfglmnprst"), 6)) for _ in range(400)]
+
+    def text(*more):
+        return " ".join([*rng.choice(words, 40), *more])
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            kind = rng.random()
+            if kind < 0.06:
+                out.append((text("vermin"), 1, "slur"))
+            elif kind < 0.10:
+                out.append((text("idiots", "martians"), 1, "pair"))
+            else:
+                # the words alone make up as large a share of clean texts
+                out.append((text(*(["idiots"] if kind < 0.50 else ["martians"] if kind < 0.86 else [])), 0, "clean"))
+        return out
+
+    def fitted(rows, **options):
+        return FactorisationMachine(**options).fit([term_ids(t) for t, _, _ in rows], np.array([float(y) for _, y, _ in rows]))
+
+    def caught(model, rows, kind):
+        ids = [term_ids(t) for t, _, k in rows if k == kind]
+        return float(np.mean(model.probability(np.concatenate(ids), np.array([len(r) for r in ids])) >= 0.5))
+
+    train, ask = made(6_000), made(2_000)
+    model = fitted(train)
+    assert caught(model, ask, "slur") == 1.0 and caught(model, ask, "pair") >= 0.95 and caught(model, ask, "clean") <= 0.01
+    assert caught(fitted(train, pair_terms=0), ask, "pair") <= 0.2
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity"])
+def test_scores_from_the_weights_alone(spark, name):
+    """The query's scores against sums over dictionaries, term by term and pair by pair."""
+    import importlib
+    import itertools
+    import math
+
+    module = importlib.import_module(f"rookery.llm.{name}")
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = getattr(module, f"train_{name}")(table(spark, "/root/testdata/sf0.01", "documents"), labels)
+    scored = {r["doc_id"]: r["score"] for r in getattr(module, f"score_{name}")(docs, model).collect()}
+    for r in docs.collect():
+        if name == "quality":
+            raw = model.slope * (math.fsum(model.table[i] for i in module.ngram_ids(r["text"] or "")) + model.bias) + model.shift
+        else:
+            ids = [int(i) for i in module.term_ids(r["text"] or "") if model.weights[i] or model.vectors[i].any()]
+            raw = model.bias + math.fsum(float(model.weights[i]) for i in ids) + math.fsum(float(model.vectors[i].astype(float) @ model.vectors[j].astype(float)) for i, j in itertools.combinations(ids, 2))
+        assert abs(scored[r["doc_id"]] - 1 / (1 + math.exp(-min(30, max(-30, raw))))) < 1e-5
+
+
 def test_dual_descent_reaches_the_optimum():
     from rookery.llm.quality import dual_descent
 
