@@ -1,13 +1,13 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Features are indicators of n-grams (1 to 3) over the shapes of the
-white-space chunks of the whole text (case, digits and punctuation, with
-runs collapsed, long shapes in pieces of twelve signs, and a mark for a chunk
-that repeats the one before), and of
-single chunks' closing punctuation.  Each indicator is scaled by its class
-log-count ratio, and a linear hinge-loss model is fitted by dual coordinate
-descent.  Margins become probabilities by a logistic fit on out-of-fold
-margins.
+Features are indicators of n-grams of the whole text: words (one and two) and
+shapes of the white-space chunks (one to three).  A word is a chunk in lower
+case without the signs around it.  A shape has case, digits and punctuation,
+with runs collapsed, and a mark for a chunk that repeats the one before.
+Chunks of more than 64 characters are read in pieces of twelve, words and
+shapes alike, to their end.  Each indicator is scaled by its class log-count
+ratio, and a linear hinge-loss model is fitted by dual coordinate descent.
+Margins become probabilities by a logistic fit on out-of-fold margins.
 
 Edge cases: null and empty texts have no feature and get the score of the
 bias alone; if the labelled rows are none or of one class, every score is
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rookery.llm.common import Memo, fold, map_rows, mix64, sums_by_row
 from rookery.llm.labelled import Vocabulary, collect_features, flat, labelled_sample
 
-DIMS = 1 << 18
+DIMS = 1 << 19
 MAX_ROWS = 12_000
 
 
@@ -42,28 +42,39 @@ def shape(chunk: str) -> str:
     return "".join(out)
 
 
-def _piece_ids(chunk: str) -> bytes:
-    """An id for each 12 signs of the shape."""
-    whole = shape(chunk)
-    ids = [zlib.crc32(whole[at : at + 12].encode("utf-8", "replace")) << 1 for at in range(0, len(whole), 12)]
-    return struct.pack(f"<{len(ids)}Q", *ids)
+_SIGNS = ".,;:!?\"'()[]{}<>&%$#*|+=-_/\\~^`…–—«»„“”‚‘’"
 
 
-_shape_ids = Memo(_piece_ids)
+def _pieces(whole: str) -> list[str]:
+    return [whole[at : at + 12] for at in range(0, len(whole), 12)]
+
+
+def _hashed(parts: list[str], seed: int) -> bytes:
+    return struct.pack(f"<{len(parts)}Q", *(zlib.crc32(p.encode("utf-8", "replace"), seed) << 1 for p in parts))
+
+
+def _chunk_ids(chunk: str) -> tuple[bytes, bytes]:
+    """Ids of the shape's pieces of twelve signs, and of the word (of its pieces, if it is long)."""
+    word = chunk.lower().strip(_SIGNS)
+    return _hashed(_pieces(shape(chunk)), 0), _hashed(([word] if len(chunk) <= 64 else _pieces(word)) if word else [], 1)
+
+
+_ids = Memo(_chunk_ids)
 
 
 def ngram_ids(text: str) -> np.ndarray:
-    """Unique hashed ids of the shape n-grams of a whole text."""
+    """Unique hashed ids of the word and shape n-grams of a whole text."""
     chunks = text.split()
     if not chunks:
         return np.zeros(0, np.uint32)
     # a long chunk is not kept in the cache
-    made = [_shape_ids[c] if len(c) <= 64 else _piece_ids(c) for c in chunks]
-    ids = np.frombuffer(b"".join(made), "<u8")
+    made = [_ids[c] if len(c) <= 64 else _chunk_ids(c) for c in chunks]
+    shapes, words = (np.frombuffer(b"".join(parts), "<u8") for parts in zip(*made))
     same = np.fromiter(itertools.chain((False,), map(str.__eq__, chunks[1:], chunks)), bool, len(chunks))
-    ids = mix64(ids + np.repeat(same, np.fromiter(map(len, made), np.int64, len(made)) // 8).astype(np.uint64))
-    grams = [ids, mix64(ids[:-1] * np.uint64(3) + ids[1:]), mix64(ids[:-2] * np.uint64(9) + ids[1:-1] * np.uint64(5) + ids[2:])]
-    return np.unique((np.concatenate(grams) >> np.uint64(46)).astype(np.uint32))
+    shapes = mix64(shapes + np.repeat(same, np.fromiter((len(m) for m, _ in made), np.int64, len(made)) // 8).astype(np.uint64))
+    words = mix64(words + np.uint64(1 << 40))
+    grams = [shapes, mix64(shapes[:-1] * np.uint64(3) + shapes[1:]), mix64(shapes[:-2] * np.uint64(9) + shapes[1:-1] * np.uint64(5) + shapes[2:]), words, mix64(words[:-1] * np.uint64(3) + words[1:])]
+    return np.unique((np.concatenate(grams) >> np.uint64(45)).astype(np.uint32))
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, c: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:

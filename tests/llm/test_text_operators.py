@@ -508,4 +508,6 @@ def test_quality_reads_long_chunks_to_the_end():
 
     start = "文字，文字。" * 20
     ids = [set(ngram_ids(start + end).tolist()) for end in ("", "A!!9?" * 40, "x-Y-7" * 40)]
+    words = [set(ngram_ids(t).tolist()) for t in ("a plain text", "a fancy text", "A plain, text")]
+    assert words[0] != words[1] and len(words[0] & words[2]) < len(words[0] | words[2])
     assert ids[0] < ids[1] | ids[0] and not ids[1] <= ids[0] and not ids[1] <= ids[2] and not ids[2] <= ids[1]
