@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own where it is unset and the master local, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rookery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -103,15 +105,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """A bounded token cache: ``memo[token]`` computes what is missing.
 
+    Keys longer than ``longest`` are not kept: a text without blanks is one.
     Python workers live on from one operator to the next; the caches of one
     ``group`` give way when another group's are filled.
     """
 
     _filled: list = []
 
-    def __init__(self, make: Callable, most: int = 300_000, group: str | None = None):
+    def __init__(self, make: Callable, most: int = 300_000, group: str | None = None, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.group = make, most, group or str(id(self))
+        self.make, self.most, self.group, self.longest = make, most, group or str(id(self)), longest
 
     def __missing__(self, key):
         if not any(m is self for m in Memo._filled):
@@ -121,7 +124,9 @@ class Memo(dict):
             Memo._filled[:] = [m for m in Memo._filled if m.group == self.group and m is not self] + [self]
         if len(self) >= self.most:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
         return value
 
 

@@ -102,16 +102,30 @@ def _automaton(key: str, items: list[tuple[str, str | None]], window: int):
     return _built[key]
 
 
+#: The columns that ``find_hits`` adds; those of the table that have such a name are replaced.
+HITS = ("n_words", "hit_first", "hit_last", "hit_items")
+
+
 def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``hit_first``/``hit_last`` (merged word ranges) and ``hit_items`` (sorted as text)."""
+    return _hits(spark, docs.select(*[c for c in docs.columns if c not in HITS]), benchmark, HITS, window, max_chars, text_col, item_col, item_text)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns, whatever the names."""
+    names = tuple(next(n for n in (f"_{k}_{h}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for h in HITS)
+    found = _hits(spark, docs, benchmark, names, window, max_chars, text_col, item_col, item_text)
+    return found.filter(F.size(names[1]) == 0).select(*docs.columns)
+
+
+def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, names: tuple[str, ...], window: int, max_chars: int, text_col: str, item_col: str, item_text: str) -> DataFrame:
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // max_chars))
-    kept = [f.name for f in docs.schema if f.name not in ("n_words", "hit_first", "hit_last", "hit_items")]
-    out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), *(F.expr(f"cast(array() as array<int>) as {c}") for c in ("hit_first", "hit_last")), F.expr("cast(array() as array<string>) as hit_items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), *(F.expr("cast(array() as array<int>)").alias(c) for c in names[1:3]), F.expr("cast(array() as array<string>)").alias(names[3]))
     schema = out.schema
-    where = kept.index(text_col)
+    where = docs.columns.index(text_col)
     for block in range(blocks):
         # at most about max_chars characters come to the driver at once
         rows = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]

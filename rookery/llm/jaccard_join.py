@@ -541,11 +541,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc
     judged = stored(spark, judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged", files)
     each.unpersist()
     names = docs.columns
-    keyed = docs.select("*", F.xxhash64(F.col(text_col)).alias("_text_hash"))
-    same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed["_text_hash"] == right["_hash"])
+    key = next(n for n in (f"_{k}_hash" for k in range(len(names) + 1)) if n not in names)
+    keyed = docs.select("*", F.xxhash64(F.col(text_col)).alias(key))
+    same = lambda right: keyed[id_col].cast("long").eqNullSafe(right["_id"]) & (keyed[key] == right["_hash"])
     single = keyed.join(judged, same(judged), "left_anti").select(*names)
     repeated = judged.filter("stays").select("_id", "_hash")
     if repeated.isEmpty():
         return single
-    one = keyed.join(repeated, same(repeated), "left_semi").groupBy(F.col(id_col), "_text_hash").agg(F.any_value(F.struct(*names)).alias("row"))
+    one = keyed.join(repeated, same(repeated), "left_semi").groupBy(F.col(id_col), key).agg(F.any_value(F.struct(*names)).alias("row"))
     return single.unionByName(one.select("row.*"))

@@ -243,3 +243,12 @@ def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix`` as often as their copies say, without its columns."""
     kept = [c for c in mixed.columns if c not in ("n_words", "posterior", "rate", "copies")]
     return mixed.filter("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict, **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` says, with all their columns, whatever the names; options as in ``mix``."""
+    text_col = options.get("text_col", "text")
+    ids = [options.get("id_col", "doc_id"), text_col]
+    plain = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ids}
+    out = repeated(mix(spark, docs.select(*[F.col(c).alias(plain.get(c, c)) for c in docs.columns]), labelled, targets, **options))
+    return out.select(*[F.col(plain.get(c, c)).alias(c) for c in docs.columns])

@@ -311,3 +311,42 @@ def test_pipeline_takes_nulls(spark):
         for name, stage in C.STAGES:
             docs = stored(spark, stage(spark, docs, sf), name)
         assert docs.count() == n
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline as C
+    from rookery.llm.common import stored
+
+    sf = "/root/testdata/sf0.001"
+    names = ["n_words", "hit_first", "hit_items", "rate", "copies", "posterior", "_n_words", "_posterior", "_u", "_copy", "_0_hash", "_0_hit_first", "stays", "row", "_id", "root", "node", "score", "_c0"]
+    docs = table(spark, sf, "documents").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    columns = docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = stored(spark, stage(spark, docs, sf), name)
+        assert docs.columns == columns and docs.count() > 0
+        assert docs.filter(" or ".join(f"`{n}` is distinct from concat('{n}', doc_id)" for n in names)).isEmpty()
+
+
+def test_mixing_against_bounded_least_squares(spark):
+    """The fitted rates against an independent solver: coordinate steps on every document's own rate."""
+    from rookery.llm.mixing import fold_rates, project_rates
+
+    rng = np.random.default_rng(6)
+    p, n = rng.dirichlet([0.4] * 3, 60), rng.integers(5, 90, 60).astype(float)
+    table_ = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "_n_words long, _posterior array<double>")
+    names, targets = ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}
+    budget = 1.5 * n.sum()
+    steps, now, want = project_rates(table_, names, targets, budget)
+    have = p.T @ n
+    r = np.ones(60)
+    for _ in range(4_000):  # minimise sum_d ((n r p - want) / have)^2 with r >= 0, one rate after another
+        for i in range(60):
+            slope = ((p.T @ (n * r) - want) / have**2) @ (n[i] * p[i])
+            r[i] = max(0.0, r[i] - slope / (((n[i] * p[i]) ** 2 / have**2).sum()))
+        if np.abs(p.T @ (n * r) - want).max() < 1e-6 * want.max():
+            break
+    best = ((((p.T @ (n * r)) - want) / have) ** 2).sum()
+    got = fold_rates(p, steps, 0.0)
+    assert got.min() >= 0 and ((((p.T @ (n * got)) - want) / have) ** 2).sum() <= best + 1e-6 and np.allclose(p.T @ (n * got), now)
+    # of the rates that reach the totals these are nearest to 1
+    assert (n * (got - 1) ** 2).sum() <= (n * (r - 1) ** 2).sum() + 1e-6

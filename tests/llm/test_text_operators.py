@@ -335,6 +335,22 @@ def test_caches_give_way():
     a, b, c = Memo(len, 3), Memo(str.upper, 3, "pair"), Memo(str.lower, 3, "pair")
     assert (a["xx"], b["q"], c["W"], b["z"]) == (2, "Q", "w", "Z") and not a and len(b) == 2 and len(c) == 1
     assert [a[k] for k in ("1", "22", "333", "4444")] == [1, 2, 3, 4] and len(a) == 1 and not b and not c
+    assert a["x" * 65] == 65 and len(a) == 1  # a text without blanks is not kept
+
+
+def test_tables_on_the_way_need_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from rookery.llm.common import shared_dir
+
+    def session(master, given=None):
+        conf = {"spark.checkpoint.dir": given} if given else {}
+        return N(conf=N(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__), sparkContext=N(master=master, getConf=lambda: N(get=conf.get)))
+
+    assert shared_dir(session("spark://host:7077", "s3a://b/x/")) == "s3a://b/x" and "rookery-" in shared_dir(session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            shared_dir(session(master))
 
 
 def test_labels_hold_the_signature():
