@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rookery.llm.common import stored, table
-from rookery.llm.decontaminate import find_hits
+from rookery.llm.decontaminate import drop_contaminated
 from rookery.llm.jaccard_join import keep_one_of_each
-from rookery.llm.mixing import mix, repeated
+from rookery.llm.mixing import mixed_rows
 from rookery.llm.queries import MIX_TARGETS, domain_labels, tokenizer_path
 from rookery.llm.token_codes import token_output
 from rookery.llm.toxicity import drop_toxic, train_toxicity
@@ -33,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return find_hits(spark, docs, table(spark, sf_dir, "benchmark")).filter("size(hit_first) = 0").select(*docs.columns)
+    return drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated until the languages' token shares are met; none is lost."""
-    return repeated(mix(spark, docs, domain_labels(docs, table(spark, sf_dir, "labels")), MIX_TARGETS))
+    return mixed_rows(spark, docs, domain_labels(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
