@@ -73,6 +73,53 @@ def test_store_modes(spark, tmp_path):
     assert VectorStore(spark, str(tmp_path), "m", overwrite=True).num_entities() == 0
 
 
+def test_store_commits(spark, tmp_path):
+    """A write leaves what is there alone; two writers of one number do not lose rows; compaction and the index are kept on disk."""
+    import os
+
+    rows = synthetic_vectors(spark, 40, 6)
+    store, other = (VectorStore(spark, str(tmp_path), "c") for _ in range(2))
+    store.insert(rows.filter("id < 30"))
+    files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "c") for f in fs}
+    before = files()
+    taken = store.commits
+    store.commits = lambda: [] if not os.path.exists(tmp_path / "c" / "commit=1") else taken()
+    other.insert(rows.filter("id >= 30"))  # takes number 1
+    store.commits = taken
+    store.insert(rows.filter("id = 0").select("id", F.slice("embedding", 1, 2).alias("embedding")))
+    assert store.commits() == [0, 1, 2] and before.items() <= files().items() and store.num_entities() == 41
+    store.delete(F.size("embedding") == 2)
+    store.delete([39])
+    store.insert(rows.filter("id = 39"))
+    store.insert(rows.filter("id in (1, 39)"), mode="upsert")
+    want = sorted((r["id"], list(r["embedding"])) for r in rows.collect())
+    assert sorted((r["id"], list(r["embedding"])) for r in other.rows().collect()) == want
+    store.compact()
+    assert sorted((r["id"], list(r["embedding"])) for r in other.rows().collect()) == want and len(store.commits()) == 1
+    assert store.create_index(nlist=4) == "embedding_IVF_FLAT_L2_4"
+    again = VectorStore(spark, str(tmp_path), "c")
+    assert again.index_name == "embedding_IVF_FLAT_L2_4" and again.index() is not None
+    query = [want[7][1]]
+    assert [r["id"] for r in again.search(query, 3, 4).collect()] == [r["id"] for r in again.search(query, 3, exact=True).collect()]
+    store.delete([7])
+    assert again.index() is None and 7 not in [r["id"] for r in again.search(query, 3, 4).collect()]
+    again.drop()
+    assert not store.exists()
+
+
+def test_a_probe_reads_its_cells_only(spark):
+    rows = synthetic_vectors(spark, 400, 4)
+    index = inverted_file.build_float(rows, nlist=10)
+    q = rows.filter("id = 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = inverted_file.search(index, q, 5, nprobe=2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    cells = {r["cell"] for r in index.cells.join(hits, "id").select("cell").collect()}
+    assert len(cells) <= 2 and len(index.cells.inputFiles()) >= 10
+    with pytest.raises(ValueError, match="cells"):
+        inverted_file.build_from(rows, spark.range(70_000).select(F.col("id").cast("int").alias("cell"), F.array(F.lit(0.0)).alias("centroid")))
+
+
 def test_entities_demo(spark):
     rows = synthetic_entities(spark, 300)
     q = rows.filter(search.filter_expression('pk in ["298","299"]')).select(F.col("pk").cast("int").alias("query_id"), F.col("embeddings").alias("query"))
