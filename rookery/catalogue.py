@@ -38,9 +38,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
 
-def asked(rows: DataFrame, n: int) -> DataFrame:
-    """The rows with the first ids as queries: fixed ids, as a search has."""
-    return rows.filter(F.col("id") < n).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+#: Every search asks for the rows whose id is divisible by this.
+ASKED = 50
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """The rows whose id is divisible by 50 as queries."""
+    return rows.filter(F.col("id") % ASKED == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def six(c: Column) -> Column:
@@ -53,94 +57,105 @@ _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::double
 _COSINE = f"1 - {_DOT.format(a='q.embedding', b='v.embedding')} / sqrt({_DOT.format(a='q.embedding', b='q.embedding')} * {_DOT.format(a='v.embedding', b='v.embedding')})"
 
 
-def _knn_sql(distance: str, n: int, k: int, where: str = "true", columns: str = "query_id, rank, id, distance") -> str:
+def _knn_sql(distance: str, k: int, where: str = "true", columns: str = "query_id, rank, id, distance") -> str:
     return f"""
-WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label AS label, {distance} AS d FROM embeddings q JOIN embeddings v ON q.vec_id < {n} AND {where}),
+WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label AS label, {distance} AS d FROM embeddings q JOIN embeddings v ON q.vec_id % {ASKED} = 0 AND {where}),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::int AS rank, id, label, round(d, 6) AS distance FROM p)
 SELECT {columns} FROM r WHERE rank <= {k}"""
 
 
-@query(_knn_sql(_L2, 2, 3))
+@query(_knn_sql(_L2, 3))
 def knn_l2_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.knn(rows, asked(rows, 2), 3).withColumn("distance", six(F.col("distance")))
+    return search.knn(rows, asked(rows), 3).withColumn("distance", six(F.col("distance")))
 
 
-@query(_knn_sql(_L2, 20, 10))
+@query(_knn_sql(_L2, 10))
 def knn_l2_batch(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.knn(rows, asked(rows, 20), 10).withColumn("distance", six(F.col("distance")))
+    return search.knn(rows, asked(rows), 10).withColumn("distance", six(F.col("distance")))
 
 
-@query(_knn_sql(_L2, 400, 5))
+@query(_knn_sql(_L2, 5))
 def knn_l2_grid(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.knn_grid(rows, asked(rows, 400), 5).withColumn("distance", six(F.col("distance")))
+    return search.knn_grid(rows, asked(rows), 5).withColumn("distance", six(F.col("distance")))
 
 
 @query(
     """
 WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::int) AS s FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(range(1, len(q.s) + 1), lambda i: abs(q.s[i] - v.s[i])))::int AS distance FROM b q JOIN b v ON q.vec_id < 10),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(range(1, len(q.s) + 1), lambda i: abs(q.s[i] - v.s[i])))::int AS distance FROM b q JOIN b v ON q.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank, id, distance FROM p)
 SELECT query_id, rank, id, distance FROM r WHERE rank <= 10"""
 )
 def knn_hamming_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("embedding", F.array(search.sign_word(F.col("embedding"))))
-    return search.knn(rows, asked(rows, 10), 10, metric="hamming")
+    return search.knn(rows, asked(rows), 10, metric="hamming")
 
 
-@query(_knn_sql(_L2, 10, 5, "v.label = 3"))
+@query(_knn_sql(_L2, 5, "v.label = 3"))
 def knn_hybrid_filter(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.knn(rows, asked(rows, 10), 5, where=F.col("label") == 3).withColumn("distance", six(F.col("distance")))
+    return search.knn(rows, asked(rows), 5, where=F.col("label") == 3).withColumn("distance", six(F.col("distance")))
 
 
-@query(_knn_sql(_COSINE, 10, 5))
+@query(_knn_sql(_COSINE, 5))
 def knn_cosine_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return search.knn(rows, asked(rows, 10), 5, metric="cosine").withColumn("distance", six(F.col("distance")))
+    return search.knn(rows, asked(rows), 5, metric="cosine").withColumn("distance", six(F.col("distance")))
 
 
-@query(f"SELECT query_id, string_agg(rank || ':' || id, ',' ORDER BY rank) AS hits FROM ({_knn_sql(_L2, 10, 5)}) GROUP BY query_id")
+@query(f"SELECT query_id, string_agg(rank || ':' || id, ',' ORDER BY rank) AS hits FROM ({_knn_sql(_L2, 5)}) GROUP BY query_id")
 def knn_nested_hits(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    hits = search.nested(search.knn(rows, asked(rows, 10), 5))
+    hits = search.nested(search.knn(rows, asked(rows), 5))
     return hits.select("query_id", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["rank"], h["id"])), ",").alias("hits"))
 
 
-@query(_knn_sql(_L2, 10, 5, columns="query_id, rank, id, distance, label"))
+@query(_knn_sql(_L2, 5, columns="query_id, rank, id, distance, label"))
 def search_then_lookup(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    hits = search.knn(rows, asked(rows, 10), 5).withColumn("distance", six(F.col("distance")))
+    hits = search.knn(rows, asked(rows), 5).withColumn("distance", six(F.col("distance")))
     return search.lookup_hits(hits, rows.select("id", "label"))
 
 
-@query(_knn_sql(_L2, 20, 10))
+@query(_knn_sql(_L2, 10))
 def ivf_full_probe(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     index = inverted_file.build_float(rows, nlist=8)
-    return inverted_file.search(index, asked(rows, 20), 10, nprobe=8).withColumn("distance", six(F.col("distance")))
+    return inverted_file.search(index, asked(rows), 10, nprobe=8).withColumn("distance", six(F.col("distance")))
 
 
-@query()
+_NEAREST = f"list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::double - c.embedding[i]::double) ** 2))"
+
+
+@query(
+    f"""WITH c AS (SELECT vec_id AS cell, embedding FROM embeddings WHERE vec_id < 16),
+d AS (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_NEAREST}, c.cell) AS place FROM embeddings e JOIN c ON true),
+x AS ({_knn_sql(_L2, 10)}),
+f AS (SELECT x.query_id, x.id, p.cell FROM x JOIN d a ON a.vec_id = x.id AND a.place = 1 LEFT JOIN d p ON p.vec_id = x.query_id AND p.place <= 13 AND p.cell = a.cell)
+SELECT count(*) AS n_exact, count(cell) AS n_found, count(cell) / count(*) AS recall FROM f"""
+)
 def ivf_probe_recall(spark, sf_dir):
+    """Recall of 13 of 16 cells around given centroids; vectors without structure need as many for 0.9."""
     rows = vectors(spark, sf_dir)
-    index = inverted_file.build_float(rows, nlist=8)
-    return inverted_file.recall(inverted_file.search(index, asked(rows, 20), 10, nprobe=2), search.knn(rows, asked(rows, 20), 10))
+    centroids = rows.filter("id < 16").select(F.col("id").cast("int").alias("cell"), F.col("embedding").cast("array<double>").alias("centroid"))
+    index = inverted_file.build_from(rows, centroids)
+    return inverted_file.recall(inverted_file.search(index, asked(rows), 10, nprobe=13), search.knn(rows, asked(rows), 10))
 
 
 @query(
     """
 WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::int) AS s FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(range(1, len(q.s) + 1), lambda i: abs(q.s[i] - v.s[i])))::int AS distance FROM b q JOIN b v ON q.vec_id < 10),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(range(1, len(q.s) + 1), lambda i: abs(q.s[i] - v.s[i])))::int AS distance FROM b q JOIN b v ON q.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank, id, distance FROM p)
 SELECT query_id, rank, id, distance FROM r WHERE rank <= 5"""
 )
 def ivf_binary_full_probe(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("embedding", F.array(search.sign_word(F.col("embedding"))))
     index = inverted_file.build_binary(rows, nlist=16)
-    return inverted_file.search(index, asked(rows, 10), 5, nprobe=16)
+    return inverted_file.search(index, asked(rows), 5, nprobe=16)
 
 
 # -- store, lookup ----------------------------------------------------------
@@ -202,12 +217,12 @@ def delete_by_pk(spark, sf_dir):
     return store.rows().select("id")
 
 
-@query(_knn_sql(_L2, 5, 5, columns="query_id::int AS query_id, rank, id, distance"))
+@query(_knn_sql(_L2, 5, columns="query_id::int AS query_id, rank, id, distance"))
 def store_search(spark, sf_dir):
     store, rows = _store(spark, "searched"), vectors(spark, sf_dir)
     store.insert(rows)
     store.create_index(nlist=8)
-    queries = asked(rows, 5).select(F.col("query_id").cast("int").alias("query_id"), "query")
+    queries = asked(rows).select(F.col("query_id").cast("int").alias("query_id"), "query")
     return store.search(queries, top_k=5, nprobe=8, output_fields=()).withColumn("distance", six(F.col("distance")))
 
 
@@ -477,13 +492,15 @@ def transposition_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH r AS (SELECT event_id AS id, user_id AS game, {_u(42, 'event_id')} AS u FROM events), b AS (SELECT *, floor(u * 64) AS bucket FROM r),
-w AS (SELECT id, game, lead(id, 1) OVER x AS i1, lead(game, 1) OVER x AS g1, lead(id, 2) OVER x AS i2, lead(game, 2) OVER x AS g2, lead(id, 3) OVER x AS i3, lead(game, 3) OVER x AS g3 FROM b WINDOW x AS (PARTITION BY bucket ORDER BY u, id)),
-c AS (SELECT id, coalesce(CASE WHEN g1 <> game THEN i1 END, CASE WHEN g2 <> game THEN i2 END, CASE WHEN g3 <> game THEN i3 END) AS negative FROM w)
-SELECT id, negative FROM c WHERE negative IS NOT NULL"""
+    f"""WITH r AS (SELECT event_id AS id, user_id AS game, {_u(42, 'event_id')} AS u FROM events), b AS (SELECT *, floor(u * (SELECT greatest(1, count(*) // 1000) FROM events)) AS bucket FROM r),
+w AS (SELECT *, CASE WHEN lead(game) OVER x IS DISTINCT FROM game THEN lead(id) OVER x END AS turn, first(id) OVER x AS first_id, first(game) OVER x AS first_game FROM b WINDOW x AS (PARTITION BY bucket ORDER BY u, id)),
+a AS (SELECT *, first(turn IGNORE NULLS) OVER (PARTITION BY bucket ORDER BY u, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM w),
+one AS (SELECT id, game FROM r ORDER BY u, id LIMIT 1), two AS (SELECT r.id, r.game FROM r, one WHERE r.game IS DISTINCT FROM one.game ORDER BY u, r.id LIMIT 1)
+SELECT a.id, coalesce(after, CASE WHEN first_game IS DISTINCT FROM a.game THEN first_id END, CASE WHEN one.game IS DISTINCT FROM a.game THEN one.id END, CASE WHEN two.game IS DISTINCT FROM a.game THEN two.id END) AS negative
+FROM a, one LEFT JOIN two ON true"""
 )
 def negative_sample(spark, sf_dir):
-    return B.negatives(table(spark, sf_dir, "events"), "user_id", "event_id")
+    return B.negatives(table(spark, sf_dir, "events"), "user_id", "event_id", bucket_rows=1_000)
 
 
 # -- losses and metrics ---------------------------------------------------------
@@ -571,13 +588,13 @@ def worst_samples(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, (v.vec_id = q.vec_id + 1) AS positive, (1 - ({_COSINE})) / 0.1::double AS s FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND v.vec_id <> q.vec_id),
+    f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, (v.vec_id = q.vec_id + 1) AS positive, (1 - ({_COSINE})) / 0.1::double AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
 m AS (SELECT *, max(s) OVER (PARTITION BY query_id) AS top FROM p)
 SELECT query_id, round(-ln(sum(CASE WHEN positive THEN exp(s - top) END) / sum(exp(s - top))), 6) AS loss FROM m GROUP BY query_id"""
 )
 def infonce(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    pairs = rows.join(F.broadcast(asked(rows, 20)), F.col("id") != F.col("query_id"))
+    pairs = search.block_pairs(rows, asked(rows)).filter(F.col("id") != F.col("query_id"))
     pairs = pairs.select("query_id", (1 - search.cosine_distance(F.col("query"), F.col("embedding"))).alias("similarity"), (F.col("id") == F.col("query_id") + 1).alias("positive"))
     return M.info_nce(pairs).withColumn("loss", six(F.col("loss")))
 
@@ -603,10 +620,10 @@ def encode_positions(spark, sf_dir):
     return encode_with(rows, RandomProjection(), "bits")
 
 
-@query()
+@query("SELECT e::int AS epoch, round(least(e * 0.03::double, 0.3::double), 6) AS metric, e >= 25 AS stop, round(CASE WHEN e < 15 THEN 1e-3 WHEN e < 20 THEN 3e-4 WHEN e < 25 THEN 9e-5 ELSE 2.7e-5 END, 9)::double AS rate FROM range(30) r(e)")
 def training_curve(spark, sf_dir):
     log = spark.range(30).select(F.col("id").alias("epoch"), F.least(F.col("id") * 0.03, F.lit(0.3)).alias("metric"))
-    return M.training_rules(log)
+    return M.training_rules(log).withColumn("metric", six(F.col("metric"))).withColumn("rate", F.round("rate", 9))
 
 
 # -- games --------------------------------------------------------------------------
@@ -646,14 +663,42 @@ def pgn_headers(spark, sf_dir):
     return _games(spark).select("event", "white_elo", "black_elo", "result", F.size("moves").alias("n_moves"))
 
 
-@query()
+# The positions of the games above.
+_REPLAYED = """
+SELECT event, ply::int AS ply, san, fen, error FROM (VALUES
+    ('First', 0, 'e4', 'rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1', NULL),
+    ('First', 1, 'e5', 'rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq e6 0 2', NULL),
+    ('First', 2, 'Nf3', 'rnbqkbnr/pppp1ppp/8/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R b KQkq - 1 2', NULL),
+    ('First', 3, 'Nc6', 'r1bqkbnr/pppp1ppp/2n5/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R w KQkq - 2 3', NULL),
+    ('First', 4, 'Bb5', 'r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R b KQkq - 3 3', NULL),
+    ('First', 5, 'a6', 'r1bqkbnr/1ppp1ppp/p1n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R w KQkq - 0 4', NULL),
+    ('First', 6, 'O-O', 'r1bqkbnr/1ppp1ppp/p1n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQ1RK1 b kq - 1 4', NULL),
+    ('First', 7, 'Nf6', 'r1bqkb1r/1ppp1ppp/p1n2n2/1B2p3/4P3/5N2/PPPP1PPP/RNBQ1RK1 w kq - 2 5', NULL),
+    ('First', 8, 'Re1', 'r1bqkb1r/1ppp1ppp/p1n2n2/1B2p3/4P3/5N2/PPPP1PPP/RNBQR1K1 b kq - 3 5', NULL),
+    ('Second', 0, 'e4', 'rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1', NULL),
+    ('Second', 1, 'a6', 'rnbqkbnr/1ppppppp/p7/8/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2', NULL),
+    ('Second', 2, 'e5', 'rnbqkbnr/1ppppppp/p7/4P3/8/8/PPPP1PPP/RNBQKBNR b KQkq - 0 2', NULL),
+    ('Second', 3, 'd5', 'rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6 0 3', NULL),
+    ('Second', 4, 'exd6', 'rnbqkbnr/1pp1pppp/p2P4/8/8/8/PPPP1PPP/RNBQKBNR b KQkq - 0 3', NULL),
+    ('Second', 5, 'Ra7', '1nbqkbnr/rpp1pppp/p2P4/8/8/8/PPPP1PPP/RNBQKBNR w KQk - 1 4', NULL),
+    ('Second', 6, 'dxc7', '1nbqkbnr/rpP1pppp/p7/8/8/8/PPPP1PPP/RNBQKBNR b KQk - 0 4', NULL),
+    ('Second', 7, 'Ra8', 'rnbqkbnr/1pP1pppp/p7/8/8/8/PPPP1PPP/RNBQKBNR w KQk - 1 5', NULL),
+    ('Second', 8, 'cxb8=Q', 'rQbqkbnr/1p2pppp/p7/8/8/8/PPPP1PPP/RNBQKBNR b KQk - 0 5', NULL),
+    ('Third', 0, 'e4', 'rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 0 1', NULL),
+    ('Third', 1, 'e5', 'rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq e6 0 2', NULL),
+    ('Third', 2, 'Ke3', NULL, 'illegal move Ke3')
+) v(event, ply, san, fen, error)"""
+
+
+@query(_REPLAYED)
 def pgn_positions(spark, sf_dir):
     from rookery.sources import games
 
-    return games.replayed(_games(spark))
+    parsed = _games(spark)
+    return games.replayed(parsed).join(parsed.select("game_id", "event"), "game_id").drop("game_id")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('elo gate', 3::bigint), ('no moves', 1), ('illegal move', 1)) v(reason, n)")
 def discard_stats(spark, sf_dir):
     from rookery.sources import games
 
@@ -661,6 +706,64 @@ def discard_stats(spark, sf_dir):
     return games.discard_statistics(parsed, games.replayed(parsed), 42)
 
 
+@query("SELECT f::int AS file, event, n_moves::int AS n_moves FROM range(3) r(f), (VALUES ('First', 9), ('Second', 9), ('Third', 3), ('Fourth', 0)) v(event, n_moves)")
+def pgn_files(spark, sf_dir):
+    """Games of files in a folder, read game by game, a file of another ending left out."""
+    from rookery.sources import games
+    from rookery.tables import new_path
+
+    path = new_path(spark, "games")
+    for k in range(3):
+        spark.createDataFrame([(GAME_TEXT,)], "text string").coalesce(1).write.text(f"{path}/file={k}")
+    spark.createDataFrame([("x",)], "x string").write.json(f"{path}/file=9")
+    parsed = games.parsed_games(games.read_games(spark, [f"{path}/file={k}" for k in (0, 1, 2, 9)], ending=".txt"))
+    return parsed.select(F.regexp_extract("file", r"file=(\d)", 1).cast("int").alias("file"), "event", F.size("moves").alias("n_moves"))
+
+
+@query("SELECT f::int AS file FROM range(2) r(f)")
+def list_files(spark, sf_dir):
+    from rookery.sources import games
+    from rookery.tables import new_path
+
+    path = new_path(spark, "listed")
+    for k, kind in enumerate(("text", "text", "json")):
+        spark.createDataFrame([("x",)], "x string").coalesce(1).write.format(kind).save(f"{path}/file={k}")
+    found = games.list_files(spark, f"{path}/*", ".txt").filter("length > 0")
+    return found.select(F.regexp_extract("path", r"file=(\d)", 1).cast("int").alias("file"))
+
+
+# -- shards -------------------------------------------------------------------------
+_SHARDED = "s AS (SELECT k.shard, o_orderkey, row_number() OVER (PARTITION BY k.shard ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY k.shard) AS n FROM orders, range(2) k(shard) WHERE o_orderkey % 2 = k.shard)"
+
+
+@query(f"WITH {_SHARDED} SELECT shard::int AS shard, CASE WHEN place <= floor(n * 0.9) THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum(o_orderkey)::bigint AS keys FROM s GROUP BY ALL")
+def shard_round_trip(spark, sf_dir):
+    """Two shards of train and test rows written one after the other and read back in pairs."""
+    from rookery.sources import shards
+    from rookery.tables import new_path
+
+    path, rows = new_path(spark, "shards"), table(spark, sf_dir, "orders").select("o_orderkey")
+    for k in range(2):
+        shards.write_shard(S.split_sequential(rows.filter(F.col("o_orderkey") % 2 == k), ["o_orderkey"], 0.9), path)
+    parts = [part for k in range(2) for part in shards.read_train_test(spark, path, k)]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return found.groupBy("shard", "split").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT v.version, count(*) AS files, (SELECT count(*) FROM orders)::bigint AS n FROM (VALUES ('v1'), ('v1')) v(version) GROUP BY v.version")
+def dataset_round_trip(spark, sf_dir):
+    """Two numbered batches written, tagged and read back as one split; a dry run writes nothing."""
+    from rookery.sources import shards
+    from rookery.tables import new_path
+
+    path, rows = new_path(spark, "dataset"), table(spark, sf_dir, "orders").select("o_orderkey").coalesce(1)
+    for k in range(2):
+        shards.write_batch(rows.filter(F.col("o_orderkey") % 2 == k), path, "train", k, "orders")
+    shards.write_batch(rows, path, "train", 2, "orders", dry_run=True)
+    tagged = shards.tag_version(spark, path, "v1").groupBy(F.col("tag").alias("version")).agg(F.count("*").alias("files"))
+    return tagged.withColumn("n", F.lit(shards.read_dataset(spark, path, "train").count()))
+
+
 @query()
 def random_boards(spark, sf_dir):
     from rookery.sources.synthetic import random_boards as boards
@@ -693,9 +796,6 @@ def grouped_statistics(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.ceil(F.count("*") / 2).cast("double").alias("pages"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_u(5, chr(39) + '1:' + chr(39) + ' || o_orderkey')}, o_orderkey) AS place FROM orders WHERE o_orderkey <= 500 ORDER BY place")
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_u(5, chr(39) + '1:' + chr(39) + ' || o_orderkey')}, o_orderkey) - 1 AS place FROM orders")
 def epoch_shuffle(spark, sf_dir):
-    """The order of the first keys in epoch 1; fixed keys, so that the places are few."""
-    rows = S.shuffled(table(spark, sf_dir, "orders").filter("o_orderkey <= 500").select("o_orderkey"), 5, 1, ["o_orderkey"])
-    u = S.hash_uniform(5, F.lit(1), "o_orderkey")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(u, "o_orderkey")).cast("long"))
+    return S.numbered_shuffle(table(spark, sf_dir, "orders").select("o_orderkey"), 5, 1, ["o_orderkey"])

@@ -159,9 +159,7 @@ def training_rules(log: DataFrame, *, stop_delta: float = 0.01, stop_patience: i
     return rows.select(F.explode(F.aggregate("rows", state, step)["out"]).alias("r")).select("r.*")
 
 
-def info_nce(pairs: DataFrame, *, query: str = "query_id", similarity: str = "similarity", positive: str = "positive", temperature: float = 0.1) -> DataFrame:
-    """``query, loss``: -log of the positive's softmax share among a query's candidates."""
-    w = Window.partitionBy(query)
-    top = F.max(F.col(similarity) / temperature).over(w)
-    e = F.exp(F.col(similarity) / temperature - top)
+def info_nce(pairs: DataFrame, *, query: str = "query_id", similarity: str = "similarity", positive: str = "positive", temperature: float = 0.1, most: float = 1.0) -> DataFrame:
+    """``query, loss``: -log of the positive's softmax share among a query's candidates; similarities are ``most`` or less."""
+    e = F.exp((F.col(similarity) - most) / temperature)
     return pairs.withColumn("_e", e).groupBy(query).agg((-F.ln(F.sum(F.when(F.col(positive), F.col("_e"))) / F.sum("_e"))).alias("loss"))

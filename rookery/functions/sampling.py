@@ -99,5 +99,11 @@ def shuffled(df: DataFrame, seed: int, epoch: int, keys: list[str]) -> DataFrame
     return df.orderBy(hash_uniform(seed, F.lit(epoch), *keys), *keys)
 
 
+def numbered_shuffle(df: DataFrame, seed: int, epoch: int, keys: list[str], name: str = "place") -> DataFrame:
+    """All rows with their place, from 0, in the order of ``shuffled``; no task sees the whole table."""
+    rows, _ = global_rows(df.withColumn("_u", hash_uniform(seed, F.lit(epoch), *keys)), ["_u", *keys], name)
+    return rows.drop("_u")
+
+
 def limited(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)

@@ -103,24 +103,42 @@ def transpositions(df: DataFrame, game: str, key: str) -> DataFrame:
     """``key, game_a, game_b``: equal positions of different games, each game linked to the next one that has the position.
 
     The chain through a position's games holds every game that has it, in as
-    many rows as games, where all pairs would be their square.
+    many rows as games, where all pairs would be their square.  All rows are
+    numbered in the order of key and game and each meets the one after, so a
+    position that all games have is dealt over as many tasks as any.
     """
-    each = df.select(F.col(key).alias("key"), F.col(game).alias("game_a")).distinct()
-    return each.withColumn("game_b", F.lead("game_a").over(Window.partitionBy("key").orderBy("game_a"))).filter("game_b is not null")
+    each, _ = global_rows(df.select(F.col(key).alias("key"), F.col(game).alias("game_a")).distinct(), ["key", "game_a"], "_row")
+    after = each.select((F.col("_row") - 1).alias("_row"), F.col("key").alias("_key"), F.col("game_a").alias("game_b"))
+    return each.join(after, "_row").filter(F.col("key") == F.col("_key")).filter("game_a is not null").select("key", "game_a", "game_b")
 
 
-def negatives(df: DataFrame, game: str, id_col: str, *, seed: int = 42, buckets: int = 64) -> DataFrame:
-    """``id, negative``: for each row a row of another game, the next one of its bucket in hash order.
+def negatives(df: DataFrame, game: str, id_col: str, *, seed: int = 42, bucket_rows: int = 10_000) -> DataFrame:
+    """``id, negative``: for each row a row of another game, if there is one.
 
-    Rows are dealt into buckets by a hash of the id; a row whose next
-    neighbour is of its own game gets the one after, or none.
+    Rows are dealt by a hash of the id into buckets of about ``bucket_rows``
+    and put in hash order; a row gets the next one of its bucket that is of
+    another game, from the bucket's start where there is none after it, and in
+    a bucket of one game the first row, by hash, of one of two other games.
+    Null is a game of its own.
     """
     u = hash_uniform(seed, id_col)
-    rows = df.select(F.col(id_col).alias("id"), F.col(game).alias("game"), u.alias("u")).withColumn("bucket", F.floor(F.col("u") * buckets))
-    w = Window.partitionBy("bucket").orderBy("u", "id")
-    ahead = [F.struct(F.lead("id", k).over(w).alias("id"), F.lead("game", k).over(w).alias("game")) for k in (1, 2, 3)]
-    chosen = F.coalesce(*[F.when(a["game"] != F.col("game"), a["id"]) for a in ahead])
-    return rows.withColumn("negative", chosen).filter("negative is not null").select("id", "negative")
+    rows = df.select(F.col(id_col).alias("id"), F.col(game).alias("game"), u.alias("u"))
+    buckets = max(1, rows.count() // bucket_rows)
+    rows = rows.withColumn("bucket", F.floor(F.col("u") * buckets))
+    # read backwards, so that what comes after a row is a running value
+    back = Window.partitionBy("bucket").orderBy(F.desc("u"), F.desc("id"))
+    ahead = F.lag(F.struct("id", "game")).over(back)
+    rows = rows.withColumn("ahead", ahead)
+    turn = F.when(F.col("ahead").isNotNull() & ~F.col("ahead.game").eqNullSafe(F.col("game")), F.col("ahead.id"))
+    rows = rows.withColumn("after", F.last(turn, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.min(F.struct("u", "id", "game"))
+    firsts = rows.groupBy("bucket").agg(start.alias("first"))
+    # the first rows of two games in the whole table
+    one = rows.agg(start.alias("x"))
+    two = rows.join(F.broadcast(one)).filter(~F.col("game").eqNullSafe(F.col("x.game"))).agg(start.alias("y"))
+    joined = rows.join(firsts, "bucket").join(F.broadcast(one)).join(F.broadcast(two))
+    other = lambda c: F.when(~F.col(f"{c}.game").eqNullSafe(F.col("game")), F.col(f"{c}.id"))
+    return joined.select("id", F.coalesce("after", other("first"), other("x"), other("y")).alias("negative")).filter("negative is not null")
 
 
 # -- ranking

@@ -127,6 +127,15 @@ def knn_grid(rows: DataFrame, queries: DataFrame, k: int = 10, *, metric: str =
     return hits
 
 
+def block_pairs(rows: DataFrame, queries: DataFrame, *, id_col: str = "id", query_id: str = "query_id", query_block: int = 1024, block: int = 16_384) -> DataFrame:
+    """Every query beside every row, once: blocks of both sides meet in cells, so that no side is broadcast."""
+    n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (rows, block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_q))).withColumn("_rb", every(n_r))
+    right = rows.withColumn("_rb", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(n_r))).withColumn("_qb", every(n_q))
+    return right.join(left.hint("shuffle_hash"), ["_qb", "_rb"]).drop("_qb", "_rb")
+
+
 def nested(hits: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, hits``: each query's hits in order, as an array of structs."""
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "distance", *fields))).alias("hits"))

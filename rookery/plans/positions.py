@@ -52,18 +52,20 @@ class PositionDataset:
     def generate(self, num_batches: int | None = None, *, resume: bool = True, dry_run: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
         """Yields ``(train, test)`` for each batch of ``batch_size`` positions after writing it; a dry run writes nothing.
 
-        The encoded positions are written once and cut into batches in the
-        order of game and ply; the last batch may be short.
+        The encoded positions are cut into batches in the order of game and
+        ply, split, and written once by batch and split, so that each batch
+        is read from its own files; the last batch may be short.
         """
         first = self.next_batch_number() if resume else 0
-        rows = stored(self.spark, with_batch_ids(self.encoded(), ["game_id", "ply"], self.dataset.batch_size), "encoded")
+        rows = with_batch_ids(self.encoded(), ["game_id", "ply"], self.dataset.batch_size)
+        rows = split_sequential(rows, ["game_id", "ply"], self.dataset.train_ratio, ["batch_id"])
+        rows = stored(self.spark, rows.hint("rebalance", "batch_id"), "encoded", ("batch_id", "split"))
         last = rows.agg(F.max("batch_id")).first()[0]
         count = 0 if last is None else int(last) + 1
         for k in range(count if num_batches is None else min(count, num_batches)):
-            split = split_sequential(rows.filter(F.col("batch_id") == k), ["game_id", "ply"], self.dataset.train_ratio)
             parts = []
             for name in ("train", "test"):
-                part = split.filter(F.col("split") == name).drop("split", "batch_id")
+                part = rows.filter((F.col("batch_id") == k) & (F.col("split") == name)).drop("split", "batch_id")
                 S.write_batch(part, self.dataset.output_path, name, first + k, self.dataset.name, dry_run=dry_run)
                 parts.append(part)
             yield parts[0], parts[1]

@@ -59,8 +59,13 @@ def move_texts(game_text: Column) -> Column:
     """Mainline moves: headers, comments, variations, glyphs, numbers and the result are removed."""
     body = F.regexp_replace(game_text, r'(?m)^\s*\[\w+\s+"(?:[^"\\]|\\.)*"\]\s*$', " ")
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)\{.*?\}", " "), r"(?m);.*$", " ")
-    for _ in range(6):  # innermost variations first
+    for _ in range(4):  # innermost variations first
         body = F.regexp_replace(body, r"\([^()]*\)", " ")
+    # deeper ones, which are rare, by counting: a token is kept where as many variations ended as began
+    tokens = F.filter(F.split(F.regexp_replace(body, r"([()])", " $1 "), r"\s+"), lambda t: t != "")
+    count = lambda t, i, sign: F.size(F.filter(F.slice(t, 1, i), lambda x: x == sign))
+    outside = lambda t: F.filter(t, lambda x, i: ~x.isin("(", ")") & (count(t, i, "(") <= count(t, i, ")")))
+    body = F.when(F.contains(body, F.lit("(")), F.array_join(let(tokens, outside), " ")).otherwise(body)
     body = F.regexp_replace(F.regexp_replace(body, r"\$\d+", " "), r"\d+\.+", " ")
     return F.filter(F.split(F.trim(body), r"\s+"), lambda m: (m != "") & ~m.isin("1-0", "0-1", "1/2-1/2", "*", "..."))
 

@@ -23,12 +23,12 @@ def ingest_vectors(stream: DataFrame, store: VectorStore, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_games(spark: SparkSession, directory: str, output: str, checkpoint: str) -> StreamingQuery:
+def ingest_games(spark: SparkSession, directory: str, output: str, checkpoint: str, max_files: int = 1_000) -> StreamingQuery:
     """Replays new game files into a table of positions; each batch writes its own folder, so a retry replaces it."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pgn").load(directory).select("path")
+    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pgn").load(directory).select("path")
 
     def put(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in batch.collect()]  # names of one trigger's files
+        paths = [r["path"] for r in batch.collect()]  # names of at most max_files files
         if paths:
             replayed(parsed_games(read_games(spark, paths))).write.mode("overwrite").parquet(f"{output}/batch={number}")
 

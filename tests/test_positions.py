@@ -153,3 +153,15 @@ def test_games(spark, tmp_path):
     assert promoted["fen"].split()[0].startswith("rQbqkbnr")
     stats = {r["reason"]: r["n"] for r in G.discard_statistics(parsed, replay, 42).collect()}
     assert stats["illegal move"] == 1 and stats["no moves"] == 1
+
+
+def test_deep_variations_and_bad_starts(spark):
+    """Variations of any depth are left out; a start that no game can have ends it with an error row."""
+    deep = "(1. d4 " * 9 + ")" * 9
+    text = f'[Event "a"]\n\n1. e4 {deep} e5 (2. c4) 2. Nf3 *'
+    bad = '[Event "b"]\n[FEN "P3k3/8/8/8/8/8/8/4K3 w - - 0 1"]\n\n1. b8 *'
+    parsed = G.parsed_games(G.games_from_text(spark.createDataFrame([(text + "\n\n" + bad,)], "text string"), "text"))
+    moves = {r["event"]: r["moves"] for r in parsed.collect()}
+    assert moves["a"] == ["e4", "e5", "Nf3"]
+    errors = [(r["san"], r["fen"], r["error"]) for r in G.bad_records(G.replayed(parsed)).collect()]
+    assert errors == [(None, None, "bad start P3k3/8/8/8/8/8/8/4K3 w - - 0 1")]

@@ -89,8 +89,25 @@ def test_windows_and_pairs(spark):
     assert B.future(rows, "g", ["ply"], "id", 3).filter("future is not null").count() == 2
     same = rows.withColumn("k", F.lit("x"))
     assert [tuple(r) for r in B.transpositions(same, "g", "k").collect()] == [("x", 0, 1)]
-    pairs = B.negatives(rows, "g", "id", buckets=1).collect()
-    assert pairs and all(p["id"] // 10 != p["negative"] // 10 for p in pairs)
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 40, 10_000])
+def test_every_row_gets_a_negative(spark, bucket_rows):
+    """One game holds 80 % of the rows; null is a game of its own; a table of one game has none."""
+    games = {i: (None if i % 50 == 0 else 1 if i % 5 else i % 7 + 2) for i in range(400)}
+    rows = spark.createDataFrame(list(games.items()), "id int, g int")
+    pairs = B.negatives(rows, "g", "id", bucket_rows=bucket_rows).collect()
+    assert sorted(p["id"] for p in pairs) == sorted(games) and all(games[p["id"]] != games[p["negative"]] for p in pairs)
+    if bucket_rows == 10_000:  # one game's rows do not all get the same negative
+        assert len({p["negative"] for p in pairs if games[p["id"]] == 1}) > 20
+    assert B.negatives(rows.filter("g = 1"), "g", "id").count() == 0 and B.negatives(rows.limit(0), "g", "id").count() == 0
+
+
+def test_transpositions_of_one_position(spark):
+    rows = spark.range(500).select(F.lit("x").alias("k"), (F.col("id") % 100).alias("g"))
+    chain = sorted(map(tuple, B.transpositions(rows, "g", "k").collect()))
+    assert chain == [("x", g, g + 1) for g in range(99)]
+    assert B.transpositions(rows.limit(0), "g", "k").count() == 0
 
 
 def test_shards(spark, tmp_path):
