@@ -66,12 +66,20 @@ class FactorisationMachine:
         self.dims, self.factors, self.least, self.least_z, self.full, self.epochs, self.batch, self.rate, self.decay, self.seed = dims, factors, least, least_z, full, epochs, batch, rate, decay, seed
         self.pair_terms, self.pair_z, self.beyond = pair_terms, pair_z, beyond
 
-    def raw(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """bias + sum of weights + half of (squared sums less sums of squares) of the factors."""
-        w, v = self.weights[ids], self.vectors[ids]
+    def _raw(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """bias + sum of weights + half of (squared sums less sums of squares) of the factors, for places in ``kept``."""
+        w, v = self.weights[places], self.vectors[places]
         sums = sums_by_row(v, counts)
         return self.bias + sums_by_row(w, counts) + 0.5 * (sums**2 - sums_by_row(v**2, counts)).sum(axis=1)
 
+    def raw(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """As ``_raw``, for rows of term ids; only the terms kept count."""
+        if not len(self.kept):
+            return np.full(len(counts), self.bias)
+        places = np.minimum(np.searchsorted(self.kept, ids), len(self.kept) - 1)
+        found = self.kept[places] == ids
+        return self._raw(places[found], np.bincount(np.repeat(np.arange(len(counts)), counts)[found], minlength=len(counts)))
+
     @staticmethod
     def _errors(in_toxic: np.ndarray, in_clean: np.ndarray, n1: float, n0: float) -> np.ndarray:
         """By how many standard errors the share among toxic rows is above that among clean ones."""
@@ -113,9 +121,10 @@ class FactorisationMachine:
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> FactorisationMachine:
         rng, values = np.random.default_rng(self.seed), self._values(rows, y)
         kept = np.flatnonzero(values)
-        n, place = len(kept), np.full(self.dims, -1, np.int64)
+        n, place = len(kept), np.full(self.dims, -1, np.int32)
         place[kept] = np.arange(n)
         x = values[kept]
+        self.kept = kept.astype(np.uint32)
         self.bias, weights, vectors = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(n), rng.normal(0, 0.01, (n, self.factors))
         if n and 0 < y.sum() < len(y):
             rows = [at[at >= 0] for at in (place[r] for r in rows)]
@@ -129,7 +138,7 @@ class FactorisationMachine:
                     step += 1
                     row = np.repeat(np.arange(len(pick)), counts)
                     self.weights, self.vectors = weights * x, vectors * x[:, None]
-                    error = (1 / (1 + np.exp(-np.clip(self.raw(ids, counts), -30, 30))) - y[pick]) * cost[pick] / len(pick)
+                    error = (1 / (1 + np.exp(-np.clip(self._raw(ids, counts), -30, 30))) - y[pick]) * cost[pick] / len(pick)
                     self.bias -= self.rate * float(error.sum())
                     v = self.vectors[ids]
                     gv = (error[row] * x[ids])[:, None] * (sums_by_row(v, counts)[row] - v)
@@ -141,8 +150,7 @@ class FactorisationMachine:
                         param -= self.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8) * (0.2 if k else 1.0)
         else:
             vectors[:] = 0
-        self.weights, self.vectors = np.zeros(self.dims, np.float32), np.zeros((self.dims, self.factors), np.float32)
-        self.weights[kept], self.vectors[kept] = weights * x, vectors * x[:, None]
+        self.weights, self.vectors = weights * x, vectors * x[:, None]
         return self
 
     def probability(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -162,7 +170,7 @@ def _scores(model, texts) -> np.ndarray:
 
 def score_toxicity(docs: DataFrame, model: FactorisationMachine, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, score, predicted`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * (1 + factors) numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms kept, at most those that ``least`` sampled rows have
 
     def rows(batch):
         score = _scores(shared.value, batch.column(2))

@@ -162,8 +162,9 @@ def test_scores_from_the_weights_alone(spark, name):
         if name == "quality":
             raw = model.slope * (math.fsum(model.table[i] for i in module.ngram_ids(r["text"] or "")) + model.bias) + model.shift
         else:
-            ids = [int(i) for i in module.term_ids(r["text"] or "") if model.weights[i] or model.vectors[i].any()]
-            raw = model.bias + math.fsum(float(model.weights[i]) for i in ids) + math.fsum(float(model.vectors[i].astype(float) @ model.vectors[j].astype(float)) for i, j in itertools.combinations(ids, 2))
+            places = {int(i): k for k, i in enumerate(model.kept)}
+            mine = [places[i] for i in module.term_ids(r["text"] or "").tolist() if i in places]
+            raw = model.bias + math.fsum(model.weights[i] for i in mine) + math.fsum(model.vectors[i] @ model.vectors[j] for i, j in itertools.combinations(mine, 2))
         assert abs(scored[r["doc_id"]] - 1 / (1 + math.exp(-min(30, max(-30, raw))))) < 1e-5
 
 
