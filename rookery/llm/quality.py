@@ -17,6 +17,7 @@ that class's smoothed share; repeated rows are scored alike.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 
@@ -31,15 +32,21 @@ DIMS = 1 << 19
 MAX_ROWS = 12_000
 
 
+class _Kinds(dict):
+    """What each character is in a shape, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_KINDS, _RUNS = _Kinds(), re.compile(r"([Aa9])\1+")
+
+
 def shape(chunk: str) -> str:
     """``Hello,`` -> ``Aa,``; ``ABC!!`` -> ``A!!``; ``2024-01`` -> ``9-9``; letters beyond ASCII count alike; the whole chunk is read."""
-    out, last = [], ""
-    for c in chunk:
-        kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
-        if kind != last or kind not in "Aa9":
-            out.append(kind)
-        last = kind
-    return "".join(out)
+    return _RUNS.sub(r"\1", chunk.translate(_KINDS))
 
 
 _SIGNS = ".,;:!?\"'()[]{}<>&%$#*|+=-_/\\~^`…–—«»„“”‚‘’"
@@ -55,8 +62,11 @@ def _hashed(parts: list[str], seed: int) -> bytes:
 
 def _chunk_ids(chunk: str) -> tuple[bytes, bytes]:
     """Ids of the shape's pieces of twelve signs, and of the word (of its pieces, if it is long)."""
-    word = chunk.lower().strip(_SIGNS)
-    return _hashed(_pieces(shape(chunk)), 0), _hashed(([word] if len(chunk) <= 64 else _pieces(word)) if word else [], 1)
+    word, whole = chunk.lower().strip(_SIGNS), shape(chunk)
+    if len(whole) <= 12 and len(chunk) <= 64:  # nearly all chunks
+        own = (zlib.crc32(whole.encode("utf-8", "replace")) << 1).to_bytes(8, "little")
+        return own, (zlib.crc32(word.encode("utf-8", "replace"), 1) << 1).to_bytes(8, "little") if word else b""
+    return _hashed(_pieces(whole), 0), _hashed(([word] if len(chunk) <= 64 else _pieces(word)) if word else [], 1)
 
 
 _ids = Memo(_chunk_ids)
@@ -71,10 +81,14 @@ def ngram_ids(text: str) -> np.ndarray:
     made = [_ids[c] if len(c) <= 64 else _chunk_ids(c) for c in chunks]
     shapes, words = (np.frombuffer(b"".join(parts), "<u8") for parts in zip(*made))
     same = np.fromiter(itertools.chain((False,), map(str.__eq__, chunks[1:], chunks)), bool, len(chunks))
-    shapes = mix64(shapes + np.repeat(same, np.fromiter((len(m) for m, _ in made), np.int64, len(made)) // 8).astype(np.uint64))
+    if len(shapes) != len(chunks):  # a mark for each piece of a chunk
+        same = np.repeat(same, np.fromiter((len(m) for m, _ in made), np.int64, len(made)) // 8)
+    shapes = mix64(shapes + same.astype(np.uint64))
     words = mix64(words + np.uint64(1 << 40))
     grams = [shapes, mix64(shapes[:-1] * np.uint64(3) + shapes[1:]), mix64(shapes[:-2] * np.uint64(9) + shapes[1:-1] * np.uint64(5) + shapes[2:]), words, mix64(words[:-1] * np.uint64(3) + words[1:])]
-    return np.unique((np.concatenate(grams) >> np.uint64(45)).astype(np.uint32))
+    ids = (np.concatenate(grams) >> np.uint64(45)).astype(np.uint32)
+    ids.sort()
+    return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, c: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
