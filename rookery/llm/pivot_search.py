@@ -10,7 +10,10 @@ the search stops when no bound can beat the k-th score found.
 
 Both sides are dealt into blocks by hash; a cell of the grid meets one block
 of queries with one of candidates, keeps k rows for each query, and the
-k best over the cells follow.  The pivots, a documented bounded sample, only
+k best over the cells follow.  A row is written once for each block of the
+other side, so large tables have large blocks: of ``block`` rows until there
+are ``BLOCKS``, then fewer and larger ones up to ``CELL_NUMBERS`` components.
+The pivots, a documented bounded sample, only
 decide how much is skipped, never the result.
 
 Edge cases: a vector that is null or holds a null or non-finite component,
@@ -33,6 +36,8 @@ from rookery.llm.common import map_rows, stored
 
 PIVOTS = 24
 PIVOT_SAMPLE = 2_000
+#: Blocks of candidates and of queries before they grow, and the most components a block grows to.
+BLOCKS, CELL_NUMBERS = (64, 8), (4_194_304, 1_048_576)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -43,6 +48,12 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.filter(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), whole.alias("v"))
 
 
+def blocks_of(n: int, dim: int, size: int, side: int) -> int:
+    """How many blocks ``n`` rows of ``dim`` components are dealt into; ``side`` is 0 for candidates, 1 for queries."""
+    largest = max(size, CELL_NUMBERS[side] // max(1, dim))
+    return max(1, -(-n // largest), min(-(-n // size), BLOCKS[side]))
+
+
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first points of a sample: each next one is farthest from those chosen."""
     if not len(sample):
@@ -105,7 +116,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = 5, scale: int = 2
     length = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
     about = rows.groupBy("dim").agg(F.max(length).alias("top"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()  # a row for each length of vectors
     tops = {r["dim"]: float(r["top"]) for r in about}
-    counts = {r["dim"]: (max(1, -(-r["q"] // query_block)), max(1, -(-r["n"] // block))) for r in about}
+    counts = {r["dim"]: (blocks_of(r["q"], r["dim"], query_block, 1), blocks_of(r["n"], r["dim"], block, 0)) for r in about}
     if not about:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     tables: dict[int, np.ndarray] = {}

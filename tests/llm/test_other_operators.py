@@ -51,6 +51,13 @@ def test_search_block_scores_each_tie_once(n, copies):
         assert ids[kept].tolist() == ids[want].tolist() and scores.tolist() == score[want].tolist()
 
 
+def test_blocks_grow_with_the_table():
+    from rookery.llm.pivot_search import blocks_of
+
+    assert [blocks_of(n, 64, 16_384, 0) for n in (0, 1, 16_385, 10**6, 4 * 10**6, 10**9)] == [1, 1, 2, 62, 64, 15_259]
+    assert [blocks_of(n, 64, 2_048, 1) for n in (0, 2_049, 10**5, 2 * 10**7)] == [1, 2, 8, 1_221] and blocks_of(10**6, 4_096, 16_384, 0) == 62
+
+
 # -- 5 pages
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
 <header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav>
