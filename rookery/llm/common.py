@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark gives back shuffles and broadcasts of plans that are gone only then, and long loops leave many."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def on_disk(df: DataFrame) -> DataFrame:
     """Keep a result on the executors' disks for its further uses; a lost part is computed again from its inputs."""
     from pyspark import StorageLevel

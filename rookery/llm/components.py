@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import join_groups, stored
+from rookery.llm.common import join_groups, stored, tidy
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, files: int | None = None, most_rounds: int = 60, rows_a_file: int = 500_000) -> DataFrame:
@@ -22,6 +22,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, files: int | Non
     links = stored(spark, edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files)
     n, before = links.count(), None
     for _ in range(most_rounds):
+        tidy(spark)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_groups(both, least, "u", "n", ["v"], 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

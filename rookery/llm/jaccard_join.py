@@ -57,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, join_groups, map_rows, mix64, on_disk, small_batches, stored
+from rookery.llm.common import Memo, join_groups, map_rows, mix64, on_disk, small_batches, stored, tidy
 from rookery.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -336,6 +336,7 @@ def likely_links(spark: SparkSession, nodes: DataFrame, n_nodes: int, *, thresho
     small_batches(spark, 20_000)
     links, walked, files = None, [], max(1, -(-n_nodes // rows_a_file))
     for k in range(DEPTH, 0, -1):
+        tidy(spark)
         found = on_disk(tries.mapInArrow(_walk(k, k == DEPTH, cut_runs(borders, k), group_most), "run long, child long, node long"))
         pairs = found.filter("run is not null").join(sketches, "node").select("run", "child", "node", "sketch")
         pairs = pairs.repartition("run").sortWithinPartitions("run", "child", "node").mapInArrow(_likely_pairs(threshold), "a long, b long, agree int")
@@ -504,6 +505,7 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     cells, near = _cells(sets, threshold, block, weight, sample, n_rows, 8 * files)
     checked = stored(spark, cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(threshold), "node long, links long, other long"), "checked", files)
 
+    tidy(spark)
     links = checked.filter("links is not null").select("node", "links")
     edges = checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     if near is not None:
@@ -514,6 +516,7 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     firsts = about.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     about = join_groups(about.drop("doc_id"), firsts, "root", "n", ["node"], n_rows).select("node", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     about = stored(spark, about, "classes", files)
+    tidy(spark)
     found = join_groups(light.filter("node is not null"), about, "node", "copies", ["row"], n_rows)
     found = found.select("doc_id", "text_hash", "row", "root", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "n_shingles", F.col("copies").cast("long").alias("n_copies"))
     none = lambda kind: F.lit(None).cast(kind)

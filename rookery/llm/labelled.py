@@ -34,8 +34,9 @@ def collect_features(sample: DataFrame, features: Callable[[str], np.ndarray]) -
         made = [features(t.as_py() or "").astype("<u4").tobytes() for t in batch.column(2)]
         return [batch.column(0), batch.column(1), made]
 
-    got = sorted(map_rows(sample.select("id", F.col("label").cast("double"), "text"), "id long, label double, f binary", rows).collect(), key=lambda r: r["id"])
-    return [np.frombuffer(r["f"], "<u4") for r in got], np.array([r["label"] for r in got])
+    # as Arrow buffers, which are given back as a whole
+    got = map_rows(sample.select("id", F.col("label").cast("double"), "text"), "id long, label double, f binary", rows).toArrow().combine_chunks().sort_by("id")
+    return [np.frombuffer(f.as_buffer(), "<u4") for chunk in got.column("f").chunks for f in chunk], got.column("label").to_numpy()
 
 
 class Vocabulary:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, fold, map_rows, mix64, sums_by_row
+from rookery.llm.common import Memo, fold, map_rows, mix64, sums_by_row, tidy
 from rookery.llm.labelled import Vocabulary, collect_features, flat, labelled_sample
 
 DIMS = 1 << 19
@@ -171,8 +171,9 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
 def train_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, label_col: str = "quality", id_col: str = "doc_id") -> NaiveBayesSupportVectors:
     """Learn from at most ``max_rows`` labelled rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, F.col(label_col), max_rows=max_rows, keep=fold(F.col("id")) != 0, id_col=id_col)
-    rows, y = collect_features(sample, ngram_ids)
-    return NaiveBayesSupportVectors().fit(rows, y)
+    model = NaiveBayesSupportVectors().fit(*collect_features(sample, ngram_ids))
+    tidy(docs.sparkSession)
+    return model
 
 
 def score_quality(docs: DataFrame, model: NaiveBayesSupportVectors, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

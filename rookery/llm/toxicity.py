@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import Memo, fold, map_rows, small_batches, sums_by_row
+from rookery.llm.common import Memo, fold, map_rows, small_batches, sums_by_row, tidy
 from rookery.llm.labelled import collect_features, flat, labelled_sample
 
 DIMS = 1 << 20
@@ -103,10 +103,11 @@ class FactorisationMachine:
         place[common[some]] = np.arange(len(some))
         both = np.zeros((2, len(some), len(some)), np.float32)
         for k in (0, 1):
-            mine = [place[r] for r, label in zip(rows, y) if int(label > 0) == k]
+            mine = np.flatnonzero((y > 0) == k)
             for at in range(0, len(mine), 256):
-                part = np.zeros((min(256, len(mine) - at), len(some)), np.float32)
-                for i, r in enumerate(mine[at : at + 256]):
+                part = np.zeros((len(mine[at : at + 256]), len(some)), np.float32)
+                for i, row in enumerate(mine[at : at + 256]):
+                    r = place[rows[row]]
                     part[i, r[r >= 0]] = 1
                 both[k] += part.T @ part
         alone = np.abs(z[some])
@@ -160,7 +161,9 @@ class FactorisationMachine:
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, label_col: str = "toxic", id_col: str = "doc_id") -> FactorisationMachine:
     """Learn from at most ``max_rows`` labelled rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, F.col(label_col), max_rows=max_rows, keep=fold(F.col("id")) != 0, id_col=id_col)
-    return FactorisationMachine().fit(*collect_features(sample, term_ids))
+    model = FactorisationMachine().fit(*collect_features(sample, term_ids))
+    tidy(docs.sparkSession)
+    return model
 
 
 def _scores(model, texts) -> np.ndarray:
