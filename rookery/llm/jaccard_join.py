@@ -488,6 +488,7 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     likely, _ = likely_links(spark, nodes, n_rows, threshold=threshold, target_recall=target_recall, least_recall=least_recall, group_most=group_most, rows_a_file=rows_a_file)
     comps = connected_components(spark, likely, files).join(nodes.select("node", "doc_id", "text_hash", "copies", "n_shingles"), "node")
 
+    tidy(spark)
     sizes = comps.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / weight)).cast("int").alias("blocks"))
     placed = join_groups(comps, sizes, "root", "n", ["node"], n_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
@@ -502,6 +503,7 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     sets = map_rows(with_text.select(*carried, "text"), "node long, root long, n long, blocks int, copies long, n_shingles int, grams binary", grams, size=256).filter("grams is not null")
     # repeated rows once
     sets = stored(spark, sets.groupBy(*carried).agg(F.any_value("grams").alias("grams")), "sets", 8 * files)
+    tidy(spark)
     cells, near = _cells(sets, threshold, block, weight, sample, n_rows, 8 * files)
     checked = stored(spark, cells.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node").mapInArrow(_verify(threshold), "node long, links long, other long"), "checked", files)
 
@@ -535,12 +537,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc
     Rows without words all stay.
     """
     rows = _classified(spark, docs, id_col=id_col, text_col=text_col, **options).filter("root is not null").select("doc_id", "text_hash", "root")
+    tidy(spark)
     # rows of one id and text are alike for this purpose
     each = on_disk(rows.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("rows")))
     n_rows = each.count()
     files = max(1, -(-n_rows // 50_000))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("f"), F.count("*").alias("n"))
     judged = join_groups(each, first, "root", "n", ["doc_id", "text_hash"], n_rows).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
+    tidy(spark)
     judged = stored(spark, judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "judged", files)
     each.unpersist()
     names = docs.columns
