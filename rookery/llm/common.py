@@ -57,11 +57,32 @@ def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_native(spark: SparkSession) -> bool:
+    """Give back what the C heaps of the driver's JVM and Python hold of freed memory, as compilers of generated code leave it; False where there is no such way (it is glibc's)."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+        gateway = spark.sparkContext._gateway
+        kinds, java = gateway.jvm.java.lang.Class, gateway.jvm.java
+        of = gateway.new_array(kinds, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            of[k] = kinds.forName(name)
+        args = gateway.new_array(java.lang.Object, 4)
+        args[0], args[1] = gateway.jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the public interface: the server's own class is closed to reflection
+        kinds.forName("javax.management.MBeanServer").getMethod("invoke", of).invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # noqa: BLE001  another C library or JVM
+        return False
+    return True
+
+
 def tidy(spark: SparkSession) -> None:
     """Collect the driver's garbage: Spark gives back shuffles and broadcasts of plans that are gone only then, and long loops leave many."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
 
 
 def on_disk(df: DataFrame) -> DataFrame:

@@ -480,6 +480,7 @@ def _classified(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, thr
     """
     prints = stored(spark, _fingerprints(docs, width, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     n_rows = prints.count()
+    tidy(spark)
     files = max(1, -(-n_rows // rows_a_file))
     light = prints.select("doc_id", "text_hash", "row", "node", "n_shingles")
     # all rows of a node have the same labels

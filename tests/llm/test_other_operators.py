@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rookery.llm.common import table
+from rookery.llm.common import table, tidy
 
 
 # -- 3 top-k
@@ -357,3 +357,24 @@ def test_mixing_against_bounded_least_squares(spark):
     assert got.min() >= 0 and ((((p.T @ (n * got)) - want) / have) ** 2).sum() <= best + 1e-6 and np.allclose(p.T @ (n * got), now)
     # of the rates that reach the totals these are nearest to 1
     assert (n * (got - 1) ** 2).sum() <= (n * (r - 1) ** 2).sum() + 1e-6
+
+
+def test_tidy_gives_freed_native_memory_back(spark):
+    """Blocks that the driver's JVM freed below one in use, as compilers leave them."""
+    jvm = spark.sparkContext._jvm
+    platform, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/smaps_rollup") as lines:
+            return next(int(x.split()[1]) for x in lines if x.startswith("Rss:")) / 1024
+
+    tidy(spark)
+    blocks = [platform.allocateMemory(100_000) for _ in range(2_000)]
+    for b in blocks:
+        platform.setMemory(b, 1, 100_000)
+    full = resident()
+    for b in blocks[:-1]:
+        platform.freeMemory(b)
+    tidy(spark)
+    platform.freeMemory(blocks[-1])
+    assert resident() < full - 120
